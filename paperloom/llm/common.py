@@ -135,3 +135,16 @@ def blocks(batches: Iterable[pa.RecordBatch], rows: int) -> Iterable[pa.Table]:
 def plus(df: DataFrame, *more: tuple[str, T.DataType]) -> T.StructType:
     """The schema of ``df`` with further columns."""
     return T.StructType([*df.schema.fields, *(T.StructField(name, kind) for name, kind in more)])
+
+
+def salted_join(many: DataFrame, one: DataFrame, keys: list[str], spread: list[str], salts: int = 8) -> DataFrame:
+    """Inner join of ``many`` with ``one``, which has a row for each key at most and comes from an aggregation by it.
+
+    Rows of a hot key go to ``salts`` places by a hash of ``spread``, and the key's
+    row to each of them.  Without the salt the join would take over the
+    aggregation's partitions, and Spark could then not split a skewed one.
+    """
+    salt = fresh(many, "salt")
+    dealt = many.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    copies = one.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [*keys, salt]).drop(salt)

@@ -53,7 +53,7 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, least_chars: int
     else:
         once = found.select("h1", "h2", "id").distinct()
         often = once.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("id").alias("keeper")).filter(F.col("n") >= min_docs)
-    gone = found.join(often.select("h1", "h2", "keeper"), ["h1", "h2"]).filter("id <> keeper")
+    gone = common.salted_join(found, often.select("h1", "h2", "keeper"), ["h1", "h2"], ["id"]).filter("id <> keeper")
     return gone.groupBy("id", "text_hash").agg(F.collect_set("pos").alias("drop"))
 
 

@@ -100,7 +100,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     place = F.struct("id", "text_hash", "at")
     # a place occurs twice only where a whole row does
     often = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("h1", "h2", "first")
-    later = found.join(often, ["h1", "h2"]).filter(place != F.col("first"))
+    later = common.salted_join(found, often, ["h1", "h2"], ["id", "at"]).filter(place != F.col("first"))
     return (later.select("id", "text_hash", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("s"))
             .groupBy("id", "text_hash").agg(F.collect_set("s").alias("gone")))
 

@@ -108,7 +108,7 @@ def firsts(pages: DataFrame, least: int) -> DataFrame:
     keyed = (pages.filter(F.octet_length("payload") >= least)
              .select("row_id", F.unhex(F.sha2("payload", 256)).alias("digest")))
     often = keyed.groupBy("digest").agg(F.min("row_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    return keyed.join(often, "digest").filter("row_id <> first").select("row_id", "first")
+    return common.salted_join(keyed, often, ["digest"], ["row_id"]).filter("row_id <> first").select("row_id", "first")
 
 
 def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", config: Config = Config()) -> None:
