@@ -39,9 +39,9 @@ def sketch(text: Column, config: Config = Config()) -> Column:
         long = F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(n)]))
         return F.when(F.size(h) >= n, long).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
 
-    bound = -(1 << 63) + (1 << 64) // config.one_in
+    bound = min((1 << 63) - 1, -(1 << 63) + (1 << 64) // config.one_in)
     # a lambda's variable is how a column function binds a value once
-    kept = F.flatten(F.transform(F.array(hashes), lambda h: F.filter(shingles(h), lambda x: x < F.lit(bound))))
+    kept = F.flatten(F.transform(F.array(hashes), lambda h: F.filter(shingles(h), lambda x: x <= F.lit(bound))))
     return F.array_sort(F.array_distinct(kept))
 
 

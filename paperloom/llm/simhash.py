@@ -40,7 +40,7 @@ class Config:
     shard: int = 4096  #: distinct fingerprints that a shard is planned for, before overlaps
     sample: int = 16_384  #: fingerprints that the upper levels are chosen on, at most
     deepest: int = 14  #: upper levels, at most
-    leaf: int = 192  #: nodes that are compared pair by pair
+    leaf: int = 1024  #: nodes that are compared pair by pair
     tries: int = 6  #: vantage points tried for a split
 
 
@@ -86,17 +86,17 @@ def distances(points: np.ndarray, one: np.uint64) -> np.ndarray:
 
 
 def split(points: np.ndarray, config: Config, rng) -> tuple[np.uint64, int] | None:
-    """The vantage point and distance that leave the smallest sides together, None if no split gains a tenth."""
+    """The vantage point and distance that leave the fewest pairs to compare, None if no split saves a tenth of them."""
     n, best = len(points), None
     for one in points[rng.choice(n, min(config.tries, n), replace=False)]:
         counts = np.bincount(distances(points, one), minlength=65)
         near = np.cumsum(counts)
         for m in range(config.radius, 64):
             inner, outer = near[m], n - near[m - config.radius]
-            cost = float(inner) ** 1.5 + float(outer) ** 1.5
+            cost = float(inner) ** 2 + float(outer) ** 2
             if best is None or cost < best[0]:
                 best = (cost, one, m)
-    return best[1:] if best and best[0] <= 0.9 * float(n) ** 1.5 else None
+    return best[1:] if best and best[0] <= 0.9 * float(n) ** 2 else None
 
 
 def upper_levels(sample: np.ndarray, total: int, config: Config) -> list:
@@ -163,7 +163,7 @@ def _leaf(points: np.ndarray, places: np.ndarray, union: Union, radius: int) ->
     costs one comparison and no memory.
     """
     p = points[places]
-    if len(p) <= 1024:
+    if len(p) <= 2048:
         i, j = np.nonzero(np.triu(np.bitwise_count(p[:, None] ^ p[None, :]) <= radius, 1))
         if len(i) <= 8 * len(p):
             for a, b in zip(places[i].tolist(), places[j].tolist(), strict=True):
