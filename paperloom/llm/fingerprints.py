@@ -25,7 +25,7 @@ from . import common
 @dataclass(frozen=True)
 class Config:
     words: int = 5  #: words of a shingle
-    one_in: int = 8  #: one hash in so many is kept
+    one_in: int = 4  #: one hash in so many is kept
 
 
 def sketch(text: Column, config: Config = Config()) -> Column:
