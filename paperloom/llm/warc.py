@@ -122,11 +122,12 @@ def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str
 
     def run(batches):
         for b in batches:
-            for i, url, payload, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(list(records(i, url, payload, first, config)), pa.binary())], names=["record"])
+            rows = zip(*(c.to_pylist() for c in b.columns), strict=True)
+            found = [r for i, url, payload, first in rows for r in records(i, url, payload, first, config)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["record"])
 
     (joined.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-     .write.mode("overwrite").option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", config.records_per_file).text(path))
+     .write.mode("overwrite").option("lineSep", "\r\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", config.records_per_file).text(path))
 
 
 def _repeats(rows: DataFrame) -> bool:
@@ -163,35 +164,66 @@ def inflated(data: bytes) -> bytes:
 
 
 SEGMENT = "row_id long, record_id string, origin string, number int, total long, type string, url string, digest string, refers_to long, block binary"
+FOUND = "row_id long, url string, type string, refers_to long, digest string, payload binary, payload_bytes long, problem string"
+KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
 
 
-def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the archives in ``path``, one row each, whatever their type."""
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    fields = [x.split() for x in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, KINDS[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def _records(content: bytes) -> Iterator[tuple]:
+    """The rows of SEGMENT that an archive holds."""
+    for h, block in parse(inflated(content)):
+        own = lambda k, h=h: int(h[k]) if k in h else None
+        yield (own("warc-row"), h.get("warc-record-id"), h.get("warc-segment-origin-id", h.get("warc-record-id")), own("warc-segment-number"), own("warc-segment-total-length"),
+               h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-payload-digest", "").removeprefix("sha256:"), own("warc-refers-to-row"), block)
+
+
+def _in_batches(rows: Iterable[tuple], schema: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``most`` bytes of binaries."""
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += sum(len(x) for x in r if isinstance(x, bytes)) + 200
+        if size > most:
+            yield _batch(schema, held)
+            held, size = [], 0
+    if held:
+        yield _batch(schema, held)
+
+
+def read_segments(spark: SparkSession, path: str, cut_only: bool = False) -> DataFrame:
+    """The records of the archives in ``path``, one row each, whatever their type; ``cut_only``: those with a segment number."""
     common.small_batches(spark, 1)
 
     def run(batches: Iterable[pa.RecordBatch]):
         for b in batches:
             for content in b.column(0).to_pylist():
-                rows, held = [], 0
-                for h, block in parse(inflated(content)):
-                    own = lambda k, h=h: int(h[k]) if k in h else None
-                    rows.append((own("warc-row"), h.get("warc-record-id"), h.get("warc-segment-origin-id", h.get("warc-record-id")), own("warc-segment-number"), own("warc-segment-total-length"),
-                                 h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-payload-digest", "").removeprefix("sha256:"), own("warc-refers-to-row"), block))
-                    held += len(block)
-                    if held > 4_000_000:
-                        yield _batch(rows)
-                        rows, held = [], 0
-                if rows:
-                    yield _batch(rows)
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, SEGMENT)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-    names = [x.split()[0] for x in SEGMENT.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                yield from _in_batches((r for r in _records(content) if not cut_only or r[3] is not None), SEGMENT)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, SEGMENT)
+
+
+def decoded(row_id, url, kind, refers_to, digest, message: bytes, numbers: list[int], total, keep: bool) -> tuple:
+    """The row of FOUND that a record makes, from its parts put together."""
+    problem = payload = None
+    if kind in (None, "continuation"):
+        problem = "no origin"
+    elif numbers != list(range(1, len(numbers) + 1)):
+        problem = "segments missing or repeated"
+    elif len(numbers) > 1 and total != len(message):
+        problem = "another total length"
+    elif kind == "response":
+        try:
+            payload = body(message)
+            if hashlib.sha256(payload).hexdigest() != digest:
+                payload, problem = None, "another digest"
+        except ValueError as e:
+            problem = str(e)
+    return row_id, url, kind, refers_to, digest, payload if keep else None, None if payload is None else len(payload), problem
 
 
 def body(message: bytes) -> bytes:
@@ -200,50 +232,42 @@ def body(message: bytes) -> bytes:
     return unchunked(rest) if re.search(rb"(?im)^transfer-encoding:.*\bchunked\b", head) else rest
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(row_id, url, type, refers_to, digest, payload, problem): one row a record that is no continuation.
+def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """(row_id, url, type, refers_to, digest, payload, payload_bytes, problem): one row a record that is no continuation.
 
     ``problem`` says what is wrong with a record: a segment that is missing or
     comes twice, a total length or digest that does not hold, or broken framing;
-    the payload is null then.  A revisit's payload is null too; see ``resolve``.
+    the payload is null then.  A revisit's payload and its length are null too; see
+    ``resolve``.  Without ``payload`` records are verified all the same.
+
+    A record without a segment number is whole and decoded where it is read.
+    Only cut ones are grouped, by their origin.
     """
-    parts = read_segments(spark, path)
-    head = F.struct("row_id", "url", "type", "refers_to", "digest").alias("head")
-    # a record without a segment number is whole; only cut ones are grouped
-    uncut = parts.filter("number is null").select(F.array(F.struct(F.lit(1).alias("number"), "block")).alias("segments"), "total", head)
-    cut = (parts.filter("number is not null").groupBy("origin")
-           .agg(F.sort_array(F.collect_list(F.struct("number", "block"))).alias("segments"), F.max("total").alias("total"),
-                F.first(F.when(F.col("type") != "continuation", head), True).alias("head")).drop("origin"))
+    common.small_batches(spark, 1)
 
-    def run(batches):
+    def whole(batches):
+        for b in batches:
+            for content in b.column(0).to_pylist():
+                yield from _in_batches((decoded(r[0], r[6], r[5], r[8], r[7], r[9], [1], None, payload) for r in _records(content) if r[3] is None), FOUND)
+
+    def together(batches):
         for b in batches:
             rows = []
             for segments, total, head in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                head = head or {}
-                message, problem, payload = b"".join(s["block"] for s in segments), None, None
-                if head.get("type", "continuation") == "continuation":
-                    problem = "no origin"
-                elif [s["number"] for s in segments] != list(range(1, len(segments) + 1)):
-                    problem = "segments missing or repeated"
-                elif len(segments) > 1 and total != len(message):
-                    problem = "another total length"
-                elif head["type"] == "response":
-                    try:
-                        payload = body(message)
-                        if hashlib.sha256(payload).hexdigest() != head["digest"]:
-                            payload, problem = None, "another digest"
-                    except ValueError as e:
-                        problem = str(e)
-                rows.append((head.get("row_id"), head.get("url"), head.get("type"), head.get("refers_to"), head.get("digest"), payload, problem))
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["row_id", "url", "type", "refers_to", "digest", "payload", "problem"])
-
-    return uncut.unionByName(cut).select("segments", "total", "head").mapInArrow(run, "row_id long, url string, type string, refers_to long, digest string, payload binary, problem string")
+                h = head or {}
+                rows.append(decoded(h.get("row_id"), h.get("url"), h.get("type"), h.get("refers_to"), h.get("digest"), b"".join(s["block"] for s in segments), [s["number"] for s in segments], total, payload))
+            yield _batch(FOUND, rows)
+
+    uncut = spark.read.format("binaryFile").load(path).select("content").mapInArrow(whole, FOUND)
+    cut = (read_segments(spark, path, cut_only=True).groupBy("origin")
+           .agg(F.sort_array(F.collect_list(F.struct("number", "block"))).alias("segments"), F.max("total").alias("total"),
+                F.first(F.when(F.col("type") != "continuation", F.struct("row_id", "url", "type", "refers_to", "digest")), True).alias("head"))
+           .select("segments", "total", "head").mapInArrow(together, FOUND))
+    return uncut.unionByName(cut)
 
 
 def resolve(found: DataFrame) -> DataFrame:
-    """``found`` with ``payload_bytes`` in the payload's place: its length, a revisit's from the record that it refers to."""
-    slim = found.withColumn("own_bytes", F.octet_length("payload").cast("long")).drop("payload")
-    sizes = slim.filter("type = 'response'").select(F.col("row_id").alias("at"), F.col("own_bytes").alias("there"))
-    return (slim.join(sizes, slim.refers_to == sizes["at"], "left")
-            .withColumn("payload_bytes", F.coalesce("own_bytes", "there")).drop("at", "there", "own_bytes"))
+    """``found`` with the ``payload_bytes`` of revisits taken from the records that they refer to."""
+    sizes = found.filter("type = 'response'").select(F.col("row_id").alias("at"), F.col("payload_bytes").alias("there"))
+    return (found.join(sizes, found.refers_to == sizes["at"], "left")
+            .withColumn("payload_bytes", F.coalesce("payload_bytes", "there")).drop("at", "there"))
