@@ -1 +1,6 @@
+"""Registered queries and their SQL."""
 
+from . import layout_queries, store_queries, text_queries
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "layout_queries", "store_queries", "text_queries"]
