@@ -37,7 +37,7 @@ from .components import components
 class Config:
     words: int = 3  #: words of a shingle
     radius: int = 3  #: differing bits of a link
-    shard: int = 4096  #: distinct fingerprints that a shard is planned for, before overlaps
+    shard: int = 32_768  #: distinct fingerprints that a shard is planned for, before overlaps
     sample: int = 16_384  #: fingerprints that the upper levels are chosen on, at most
     deepest: int = 14  #: upper levels, at most
     leaf: int = 1024  #: nodes that are compared pair by pair
