@@ -51,7 +51,8 @@ class Config:
 
 def token_hash(word: str) -> int:
     """A word's 64-bit hash as a signed number; 0 for a word without letters or digits."""
-    word = EDGE.sub("", word)
+    if not word.isalnum():
+        word = EDGE.sub("", word)
     if not word:
         return 0
     h = xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 7) or 1
@@ -108,21 +109,24 @@ class Block:
             bits[h >> shift] = True
             self.seen.append((shift, bits))
 
-    def hits(self, h: np.ndarray) -> set[tuple[int, int]]:
-        """(item, text position of the item's first token) of all hits."""
-        out: set[tuple[int, int]] = set()
+    def hits(self, texts: list[np.ndarray]) -> list[set[tuple[int, int]]]:
+        """For each text's tokens, (item, text position of the item's first token) of all hits."""
+        out: list[set[tuple[int, int]]] = [set() for _ in texts]
+        ends = np.cumsum([len(h) for h in texts])
+        flat = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
         for salt, mask in enumerate(self.masks):
-            s = seeds(h, mask, salt)
+            s = seeds(flat, mask, salt)
             if not len(s) or not len(self.hashes[salt]):
                 continue
             shift, bits = self.seen[salt]
             maybe = np.flatnonzero(bits[s >> shift])
-            if not len(maybe):
-                continue
             low = np.searchsorted(self.hashes[salt], s[maybe], "left")
             high = np.searchsorted(self.hashes[salt], s[maybe], "right")
-            for p, i, j in zip(maybe.tolist(), low.tolist(), high.tolist(), strict=True):
-                out.update((int(self.items[salt][k]), p - int(self.at[salt][k])) for k in range(i, j))
+            owner = np.searchsorted(ends, maybe, "right")
+            true = (high > low) & (maybe + len(mask) <= ends[owner])  # a stretch over two texts is none
+            for p, i, j, k in zip(maybe[true].tolist(), low[true].tolist(), high[true].tolist(), owner[true].tolist(), strict=True):
+                first = p - int(ends[k]) + len(texts[k])
+                out[k].update((int(self.items[salt][x]), first - int(self.at[salt][x])) for x in range(i, j))
         return out
 
     def verify(self, h: np.ndarray, item: int, offset: int) -> tuple[int, int, int] | None:
@@ -142,18 +146,21 @@ class Block:
             return whole, len(equal), offset + first
         return (same, size, offset + first + start) if size >= need and same >= c.share * size else None
 
-    def matches(self, text: str, memo: common.Memo) -> list[tuple[int, int, int, int]]:
-        """(item_id, equal tokens, stretch's tokens, first token position): of each item the best stretch."""
-        h = tokens(text, memo)
-        best: dict[int, tuple[int, int, int, int]] = {}
-        for item, offset in self.hits(h):
-            got = self.verify(h, item, offset)
-            if got:
-                own = (self.ids[item], *got)
-                was = best.get(self.ids[item])
-                if was is None or (own[1], -own[3]) > (was[1], -was[3]):
-                    best[self.ids[item]] = own
-        return sorted(best.values())
+    def matches(self, texts: list[str], memo: common.Memo) -> list[list[tuple[int, int, int, int]]]:
+        """For each text, (item_id, equal tokens, stretch's tokens, first token position): of each item the best stretch."""
+        hashed = [tokens(t, memo) for t in texts]
+        out = []
+        for h, found in zip(hashed, self.hits(hashed), strict=True):
+            best: dict[int, tuple[int, int, int, int]] = {}
+            for item, offset in found:
+                got = self.verify(h, item, offset)
+                if got:
+                    own = (self.ids[item], *got)
+                    was = best.get(self.ids[item])
+                    if was is None or (own[1], -own[3]) > (was[1], -was[3]):
+                        best[self.ids[item]] = own
+            out.append(sorted(best.values()))
+        return out
 
 
 def blocks(benchmark: DataFrame, item_col: str, text_col: str, config: Config) -> Iterator[Block]:
@@ -180,7 +187,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
         def run(batches, sent=sent):
             memo = common.Memo(token_hash)
             for b in batches:
-                rows = [(i, *m) for i, t in zip(b.column(0).to_pylist(), common.texts_of(b.column(1)), strict=True) for m in sent.value.matches(t, memo)]
+                found = sent.value.matches(list(common.texts_of(b.column(1))), memo)
+                rows = [(i, *m) for i, ms in zip(b.column(0).to_pylist(), found, strict=True) for m in ms]
                 names = ["id", "item_id", "equal_tokens", "overlap_tokens", "first_token"]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], names=names)
 
@@ -201,7 +209,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item
         def run(batches, sent=sent):
             memo = common.Memo(token_hash)
             for b in batches:
-                yield b.filter(pa.array([not sent.value.matches(t, memo) for t in common.texts_of(b.column(at))], pa.bool_()))
+                found = sent.value.matches(list(common.texts_of(b.column(at))), memo)
+                yield b.filter(pa.array([not m for m in found], pa.bool_()))
 
         docs = docs.mapInArrow(run, T.StructType(docs.schema.fields))
     return docs
