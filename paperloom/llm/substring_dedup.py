@@ -7,8 +7,9 @@ than once is repeated; its first place is the least (id, position).  Sentences
 covered by any run at another place go, and what is left is put together again
 as it stood.
 
-Rows that repeat an id are told apart by a hash of their text; rows equal in both
-are one document.  Null ids: the row is left as it is.  Null and empty texts
+Rows that repeat an id are told apart by a hash of their text, but a run that
+several of them hold at one position stays in all of them.  Null ids: the row is
+left as it is.  Null and empty texts
 have no sentences.
 
 No run is gathered: places are counted and their least one taken by an
@@ -97,10 +98,9 @@ def places(docs: DataFrame, id_col: str, text_col: str, config: Config) -> DataF
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", config: Config = Config()) -> DataFrame:
     """(id, text_hash, gone): of each row that loses sentences, their positions, from 0."""
     found = places(docs, id_col, text_col, config)
-    place = F.struct("id", "text_hash", "at")
-    # a place occurs twice only where a whole row does
-    often = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("h1", "h2", "first")
-    later = common.salted_join(found, often, ["h1", "h2"], ["id", "at"]).filter(place != F.col("first"))
+    place = F.struct("id", "at")
+    often = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "first")
+    later = common.salted_join(found, often, ["h1", "h2"], ["id", "at"], salts=4).filter(place != F.col("first"))
     return (later.select("id", "text_hash", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("s"))
             .groupBy("id", "text_hash").agg(F.collect_set("s").alias("gone")))
 
