@@ -116,3 +116,10 @@ POINT_EMAIL = r"(?U)[\w.+-]+@[\w.-]+\.\w+"
 POINT_WORDS = "(total|invoice|facture|experience|education|contract|agreement|date)"
 INVOICE_OVERRIDE = r"(?U)\b(invoice|facture|total|vat|tva|amount|montant)\b"
 CV_OVERRIDE = r"(?U)\b(experience|expérience|education|formation|skills|compétences)\b"
+
+# --- fixed values: titles of entries ---
+
+ROLE_WORDS = ("designer", "engineer", "developer", "manager", "director", "consultant", "analyst", "specialist", "assistant", "officer", "architect", "researcher", "intern", "lead", "head")
+ACTION_STARTERS = ("led", "conducted", "collaborated", "created", "built", "managed", "reduced", "increased", "designed")
+DEGREES = r"(?U)\b(bachelor|master|science|degree|licence|diploma|phd|doctor|university)\b"
+LEGAL_PARTY_MARKS = ("party a", "party b", " by and between", "between:")

@@ -106,13 +106,18 @@ def load(data: bytes) -> Model:
 class Transducer:
     """The compiled machines of one model."""
 
-    def __init__(self, data: bytes, most_words: int = 300_000, most_pairs: int = 1_000_000):
+    def __init__(self, data: bytes, most_words: int = 600_000, most_pairs: int = 1_000_000):
         m = self.model = load(data)
         self.ids = {p: i for i, (p, t) in enumerate(zip(m.pieces, m.types, strict=True)) if t in (NORMAL, DEFINED)}
         self.bytes_ = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(m.pieces, m.types, strict=True)) if t == BYTE}
         self.unknown = next((i for i, t in enumerate(m.types) if t == UNKNOWN), 0)
         self.longest = max(map(len, self.ids), default=1)
         self.low = min((m.scores[i] for i in self.ids.values()), default=0.0) - UNKNOWN_PENALTY
+        self.told = {p: np.int32(i).tobytes() for p, i in self.ids.items()}
+        written = [b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(MARK, " ").encode() for p, t in zip(m.pieces, m.types, strict=True)]
+        self.output = np.frombuffer(b"".join(written), np.uint8)
+        self.sizes = np.array([len(w) for w in written], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.words = common.Memo(self._path, most_words)
         self.pairs = common.Memo(self._follows, most_pairs)
         self.cuts = self._boundaries()
@@ -169,20 +174,20 @@ class Transducer:
         """Whether the second piece may follow the first; with an empty first, whether a piece may stand at all."""
         return self._merge(pair[0] + pair[1]) == [x for x in pair if x]
 
-    def _write(self, piece: str) -> list[int]:
-        """The ids that the path of a piece, or of a letter without one, writes."""
-        k = self.ids.get(piece)
+    def _write(self, piece: str) -> bytes:
+        """What the path of a piece, or of a letter without one, writes: ids as 32-bit numbers."""
+        k = self.told.get(piece)
         if k is not None:
-            return [k]
-        return [self.bytes_[b] for b in piece.encode("utf-8", "replace")] if len(self.bytes_) == 256 else [self.unknown]
+            return k
+        return np.array([self.bytes_[b] for b in piece.encode("utf-8", "replace")] if len(self.bytes_) == 256 else [self.unknown], np.int32).tobytes()
 
     def _merged_path(self, stretch: str) -> list[str]:
         """The path of a model of merges: each place has one piece that may end there, as what leads to it has one path."""
         ends, ids, pairs, longest = [""], self.ids, self.pairs, self.longest
         for j in range(1, len(stretch) + 1):
-            for i in range(max(0, j - longest), j):
+            for i in range(j - 1, max(-1, j - longest - 1), -1):
                 piece = stretch[i:j]
-                if (piece in ids or j - i == 1) and pairs[ends[i], piece]:
+                if (piece in ids or i == j - 1) and pairs[ends[i], piece]:
                     ends.append(piece)
                     break
             else:
@@ -214,8 +219,7 @@ class Transducer:
 
     def _path(self, stretch: str) -> bytes:
         """The ids, as 32-bit numbers, of the shortest path of a stretch's composition."""
-        pieces = self._merged_path(stretch) if self.model.kind == MERGES else self._scored_path(stretch)
-        return np.array([k for p in pieces for k in self._write(p)], np.int32).tobytes()
+        return b"".join(map(self._write, self._merged_path(stretch) if self.model.kind == MERGES else self._scored_path(stretch)))
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text."""
@@ -224,12 +228,11 @@ class Transducer:
     # --- decoding: the machines read backwards ---
 
     def decode(self, ids: np.ndarray) -> str:
-        if not hasattr(self, "written"):
-            written = [b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(MARK, " ").encode()
-                       for p, t in zip(self.model.pieces, self.model.types, strict=True)]
-            self.written = written
-        text = b"".join(map(self.written.__getitem__, ids.tolist()))
-        if self.model.prefix and len(ids) and text.startswith(b" "):
+        size = self.sizes[ids]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        text = self.output[np.repeat(self.starts[ids] - ends + size, size) + np.arange(total)].tobytes()
+        if self.model.prefix and text.startswith(b" "):
             text = text[1:]
         return text.decode("utf-8", "replace")
 
