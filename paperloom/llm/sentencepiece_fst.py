@@ -106,7 +106,7 @@ def load(data: bytes) -> Model:
 class Transducer:
     """The compiled machines of one model."""
 
-    def __init__(self, data: bytes, most_words: int = 600_000, most_pairs: int = 1_000_000):
+    def __init__(self, data: bytes, most_words: int = 500_000, most_pairs: int = 1_000_000):
         m = self.model = load(data)
         self.ids = {p: i for i, (p, t) in enumerate(zip(m.pieces, m.types, strict=True)) if t in (NORMAL, DEFINED)}
         self.bytes_ = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(m.pieces, m.types, strict=True)) if t == BYTE}
