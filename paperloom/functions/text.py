@@ -78,10 +78,7 @@ def all_matches(pattern: str, text: Column) -> Column:
 
 
 def contains_any(text: Column, needles: Sequence[str]) -> Column:
-    out = F.lit(False)
-    for n in needles:
-        out = out | F.contains(text, F.lit(n))
-    return out
+    return F.rlike(text, F.lit("|".join(f"\\Q{n}\\E" for n in needles)))
 
 
 def unique(values: Column) -> Column:
@@ -137,13 +134,15 @@ def looks_location(line: Column) -> Column:
 
 def section_of(text: Column) -> Column:
     """The first section that has an alias equal to the normalised text, or at its start as words; null without one."""
-    label, out = norm(text), None
-    for section, aliases in P.SECTION_ALIASES.items():
-        hit = F.lit(False)
-        for alias in dict.fromkeys(plain_norm(a) for a in aliases):
-            hit = hit | (label == alias) | F.startswith(label, F.lit(alias + " "))
-        out = F.when(hit, section) if out is None else out.when(hit, section)
-    return out
+    def of(label: Column) -> Column:
+        out = None
+        for section, aliases in P.SECTION_ALIASES.items():
+            plain = list(dict.fromkeys(plain_norm(a) for a in aliases))
+            hit = F.rlike(label, F.lit("^(?:" + "|".join(plain) + ")(?: |$)"))
+            out = F.when(hit, section) if out is None else out.when(hit, section)
+        return out
+
+    return bind(norm(text), of)
 
 
 def plain_norm(text: str) -> str:

@@ -38,6 +38,12 @@ def _best(text: Column) -> Column:
     return X.bind(found, lambda s: F.struct(F.array_max(s).alias("best"), F.aggregate(s, F.lit(0), lambda a, x: a + x["hits"]).alias("total")))
 
 
+def with_type(docs: DataFrame) -> DataFrame:
+    """``docs`` with doc_type, computed in the row."""
+    best = _best(F.col("text"))["best"]
+    return docs.withColumn("doc_type", X.bind(best, lambda b: F.when(b["hits"] > 0, b["type"]).otherwise("unknown")))
+
+
 def document_type(docs: DataFrame, *, floor: float | None = None, visual: dict[str, Column] | None = None) -> DataFrame:
     """(doc_id, doc_type, confidence).  Under ``floor`` the type is unknown, with the confidence it had.
 

@@ -65,42 +65,59 @@ def projects(sections: Column) -> Column:
                        lambda g: F.struct(F.get(g, F.lit(0)).alias("name"), F.array_join(F.slice(g, F.lit(2), F.size(g)), " ").alias("description")))
 
 
+def cv_data(text: Column) -> Column:
+    """A curriculum's parts as a struct."""
+    def of(ls: Column, ss: Column) -> Column:
+        skills = F.array_distinct(F.transform(D.section_list(ss, ("skills", "compétences", "competences")), lambda x: F.lower(x)))
+        return F.struct(
+            F.struct(D.candidate_name(ls).alias("name"), D.contact(ls).alias("contact"), D.section_list(ss, ("hobbies", "centres d'intérêt", "interests")).alias("hobbies")).alias("personal_info"),
+            F.struct(education(ss).alias("formation")).alias("education"), work(ss).alias("work_experience"), skills.alias("skills"), languages(ss).alias("languages"),
+            certifications(ss).alias("certifications"), projects(ss).alias("projects"))
+
+    return X.bind(X.nonempty_lines(text), lambda ls: X.bind(D.labelled_sections(ls), lambda ss: of(ls, ss)))
+
+
+def invoice_data(text: Column) -> Column:
+    """An invoice's parts as a struct; a table drawn with | gives the items."""
+    def totals(kv: Column, items: Column) -> Column:
+        amount = lambda *keys: X.number(D.first_value(kv, keys))
+        summed = F.nullif(F.aggregate(items, F.lit(0.0), lambda a, i: a + F.coalesce(i["total"], F.lit(0.0))), F.lit(0.0))
+        found = F.struct(F.coalesce(amount("subtotal", "sous_total", "sub_total"), summed).alias("subtotal"), amount("tax", "vat", "tva").alias("tax"), amount("total", "grand_total", "amount_due", "montant_total").alias("total"))
+        return X.bind(found, lambda t: F.struct(t["subtotal"].alias("subtotal"), t["tax"].alias("tax"), F.coalesce(t["total"], t["subtotal"] + t["tax"]).alias("total")))
+
+    def of(ls: Column, kv: Column, items: Column) -> Column:
+        first = lambda p: F.try_element_at(F.filter(ls, lambda x: F.rlike(x, F.lit(p))), F.lit(1))
+        who = D.contact(ls)
+        return F.struct(
+            F.struct(F.coalesce(D.party_name(ls, ("vendor", "seller", "from", "émetteur", "fournisseur")), D.company_like(ls)).alias("name"), D.line_containing(ls, ("attention", "à l'attention", "a l'attention")).alias("attention_of")).alias("vendor"),
+            F.struct(who["phone"].alias("phone"), who["email"].alias("email"), F.struct(first(P.STREET).alias("street"), first(P.CITY).alias("city")).alias("address")).alias("client"),
+            items.alias("items"), totals(kv, items).alias("totals"),
+            F.struct(D.line_containing(ls, ("paiement", "payment", "payable", "ordre de")).alias("method"), D.first_value(kv, ("conditions", "terms", "payment_terms", "conditions_de_paiement")).alias("conditions"),
+                     D.account_number(ls).alias("account_number"), F.coalesce(D.first_value(kv, ("due_date", "date_d_echeance", "échéance", "echeance")), D.line_containing(ls, ("sous 30 jours", "due", "échéance", "echeance"))).alias("due_date")).alias("payment"))
+
+    return X.bind(X.nonempty_lines(text), lambda ls: X.bind(F.struct(D.last_wins(D.pairs(ls)).alias("kv"), table_items(pipe_table(ls)).alias("items")), lambda b: of(ls, b["kv"], b["items"])))
+
+
+def generic_data(text: Column) -> Column:
+    """Title, contacts, dates, amounts, pairs and sections of any document."""
+    return X.bind(X.nonempty_lines(text), lambda ls: F.struct(
+        F.try_element_at(ls, F.lit(1)).alias("title"), D.contact(ls).alias("contacts"), X.unique(F.flatten(F.transform(ls, lambda x: X.all_matches(P.DATE, x)))).alias("dates"),
+        X.unique(F.flatten(F.transform(ls, lambda x: X.all_matches(P.MONEY, x)))).alias("amounts"), D.last_wins(D.pairs(ls)).alias("key_values"), D.labelled_sections(ls).alias("sections")))
+
+
 def cv(docs: DataFrame) -> DataFrame:
-    """(doc_id, data): a curriculum's parts as a struct."""
-    rows = docs.select("doc_id", X.nonempty_lines(F.col("text")).alias("ls")).withColumn("ss", D.labelled_sections(F.col("ls")))
-    ss = F.col("ss")
-    skills = F.array_distinct(F.transform(D.section_list(ss, ("skills", "compétences", "competences")), lambda x: F.lower(x)))
-    return rows.select("doc_id", F.struct(
-        F.struct(D.candidate_name(F.col("ls")).alias("name"), D.contact(F.col("ls")).alias("contact"), D.section_list(ss, ("hobbies", "centres d'intérêt", "interests")).alias("hobbies")).alias("personal_info"),
-        F.struct(education(ss).alias("formation")).alias("education"), work(ss).alias("work_experience"), skills.alias("skills"), languages(ss).alias("languages"),
-        certifications(ss).alias("certifications"), projects(ss).alias("projects")).alias("data"))
+    """(doc_id, data)."""
+    return docs.select("doc_id", cv_data(F.col("text")).alias("data"))
 
 
 def invoice(docs: DataFrame) -> DataFrame:
-    """(doc_id, data): an invoice's parts as a struct; a table drawn with | gives the items."""
-    rows = docs.select("doc_id", X.nonempty_lines(F.col("text")).alias("ls")).withColumn("kv", D.last_wins(D.pairs(F.col("ls")))).withColumn("items", table_items(pipe_table(F.col("ls"))))
-    ls, kv = F.col("ls"), F.col("kv")
-    amount = lambda *keys: X.number(D.first_value(kv, keys))
-    summed = F.nullif(F.aggregate("items", F.lit(0.0), lambda a, i: a + F.coalesce(i["total"], F.lit(0.0))), F.lit(0.0))
-    rows = rows.withColumn("subtotal", F.coalesce(amount("subtotal", "sous_total", "sub_total"), summed)).withColumn("tax", amount("tax", "vat", "tva"))
-    rows = rows.withColumn("total", F.coalesce(amount("total", "grand_total", "amount_due", "montant_total"), F.col("subtotal") + F.col("tax")))
-    first = lambda p: F.try_element_at(F.filter(ls, lambda x: F.rlike(x, F.lit(p))), F.lit(1))
-    who = D.contact(ls)
-    return rows.select("doc_id", F.struct(
-        F.struct(F.coalesce(D.party_name(ls, ("vendor", "seller", "from", "émetteur", "fournisseur")), D.company_like(ls)).alias("name"), D.line_containing(ls, ("attention", "à l'attention", "a l'attention")).alias("attention_of")).alias("vendor"),
-        F.struct(who["phone"].alias("phone"), who["email"].alias("email"), F.struct(first(P.STREET).alias("street"), first(P.CITY).alias("city")).alias("address")).alias("client"),
-        F.col("items"), F.struct("subtotal", "tax", "total").alias("totals"),
-        F.struct(D.line_containing(ls, ("paiement", "payment", "payable", "ordre de")).alias("method"), D.first_value(kv, ("conditions", "terms", "payment_terms", "conditions_de_paiement")).alias("conditions"),
-                 D.account_number(ls).alias("account_number"), F.coalesce(D.first_value(kv, ("due_date", "date_d_echeance", "échéance", "echeance")), D.line_containing(ls, ("sous 30 jours", "due", "échéance", "echeance"))).alias("due_date")).alias("payment")).alias("data"))
+    """(doc_id, data)."""
+    return docs.select("doc_id", invoice_data(F.col("text")).alias("data"))
 
 
 def generic(docs: DataFrame) -> DataFrame:
-    """(doc_id, data): title, contacts, dates, amounts, pairs and sections of any document."""
-    rows = docs.select("doc_id", X.nonempty_lines(F.col("text")).alias("ls"))
-    ls = F.col("ls")
-    return rows.select("doc_id", F.struct(
-        F.try_element_at(ls, F.lit(1)).alias("title"), D.contact(ls).alias("contacts"), X.unique(F.flatten(F.transform(ls, lambda x: X.all_matches(P.DATE, x)))).alias("dates"),
-        X.unique(F.flatten(F.transform(ls, lambda x: X.all_matches(P.MONEY, x)))).alias("amounts"), D.last_wins(D.pairs(ls)).alias("key_values"), D.labelled_sections(ls).alias("sections")).alias("data"))
+    """(doc_id, data)."""
+    return docs.select("doc_id", generic_data(F.col("text")).alias("data"))
 
 
 def as_json(found: DataFrame) -> DataFrame:
@@ -109,7 +126,7 @@ def as_json(found: DataFrame) -> DataFrame:
 
 
 def route(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc_type, json): each document's export by its type: cv, invoice, or any other.  Three branches of one scan."""
-    parts = [as_json(cv(docs.filter("doc_type = 'cv'"))).withColumn("doc_type", F.lit("CV")), as_json(invoice(docs.filter("doc_type = 'invoice'"))).withColumn("doc_type", F.lit("invoice")),
-             as_json(generic(docs.filter("doc_type is null or doc_type not in ('cv', 'invoice')"))).withColumn("doc_type", F.lit("generic"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("doc_id", "doc_type", "json")
+    """(doc_id, doc_type, json): each document's export by its doc_type: cv, invoice, or any other.  One pass; only the fitting branch is computed."""
+    text, kind = F.col("text"), F.col("doc_type")
+    return docs.select("doc_id", F.when(kind == "cv", "CV").when(kind == "invoice", "invoice").otherwise("generic").alias("doc_type"),
+                       F.when(kind == "cv", F.to_json(cv_data(text))).when(kind == "invoice", F.to_json(invoice_data(text))).otherwise(F.to_json(generic_data(text))).alias("json"))

@@ -87,8 +87,8 @@ def ocr_report(spark, sf_dir):
     return quality.ocr_report(R.line_boxes(spark, sf_dir)).drop("mean_confidence")
 
 
-@query(R.with_ctes(R.BOX_SQL, query="SELECT doc_id, CASE WHEN count(*) < 2 THEN 1.0::DOUBLE ELSE 0.85::DOUBLE END AS consensus, count(*) < 4 OR sum(length(text)) < 40 OR avg(confidence) < 0.60 AS fallback FROM line_boxes GROUP BY doc_id"))
+@query(R.with_ctes(R.BOX_SQL, query="SELECT doc_id, CASE WHEN count(*) < 2 THEN 1.0::DOUBLE ELSE 0.85::DOUBLE END AS consensus, count(*) < 4 OR sum(length(text)) < 40 OR round(avg(confidence), 6) < 0.60 AS fallback FROM line_boxes GROUP BY doc_id"))
 def ocr_consensus_fallback(spark, sf_dir):
     lines = R.line_boxes(spark, sf_dir)
-    own = lines.groupBy("doc_id").agg(quality.needs_fallback(F.count("*"), F.sum(F.char_length("text")), F.avg("confidence")).alias("fallback"))
+    own = lines.groupBy("doc_id").agg(quality.needs_fallback(F.count("*"), F.sum(F.char_length("text")), F.round(F.avg("confidence"), 6)).alias("fallback"))
     return quality.consensus(lines).join(own, "doc_id").select("doc_id", "consensus", "fallback")

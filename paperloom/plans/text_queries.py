@@ -355,8 +355,7 @@ def invoice_parties(spark, sf_dir):
 
 @query(None)
 def export_by_type(spark, sf_dir):
-    docs = mixed_docs(spark, sf_dir)
-    return exports.route(docs.join(classify.document_type(docs).select("doc_id", "doc_type"), "doc_id"))
+    return exports.route(classify.with_type(mixed_docs(spark, sf_dir)))
 
 
 @query(None)
