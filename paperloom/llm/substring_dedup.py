@@ -1,8 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences after . ! or ? with white space behind, and at
-newlines.  Every run of ``lengths`` consecutive sentences with enough words is
-hashed (128 bits, white space within a sentence squeezed).  A run found more
+newlines.  From every sentence on, the shortest run of three or more sentences
+that has ``words`` words is hashed, and so are runs of two sentences, and single
+ones, that are long by themselves (96 bits, white space within a sentence
+squeezed).  A run found more
 than once is repeated; its first place is the least (id, position).  Sentences
 covered by any run at another place go, and what is left is put together again
 as it stood.
@@ -36,8 +38,9 @@ GAP = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 
 @dataclass(frozen=True)
 class Config:
-    lengths: tuple[int, ...] = (3, 2)  #: sentences of a run
-    least_words: tuple[int, ...] = (15, 24)  #: words of a run of each length, at least
+    words: int = 30  #: words of a run of three or more sentences, at least
+    words_of_two: int = 30  #: words of a run of two, at least
+    words_of_one: int = 30  #: words of a sentence that is a run by itself, at least
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -57,10 +60,12 @@ def runs(text: str, config: Config) -> list[tuple[int, int, bytes]]:
     parts = [text[a:b].split() for a, b in sentences(text)]
     words = np.cumsum([0, *map(len, parts)])
     keys = [" ".join(p).encode("utf-8", "surrogatepass") for p in parts]
-    out = []
-    for k, least in zip(config.lengths, config.least_words, strict=True):
-        for i in np.flatnonzero(words[k:] - words[:-k] >= least).tolist() if len(parts) >= k else ():
-            out.append((i, k, xxh3_128_digest(b"\n".join(keys[i:i + k]))))
+    n, first = len(parts), np.arange(len(parts))
+    long = np.maximum(3, np.searchsorted(words, words[:-1] + config.words) - first)
+    out = [(i, k, xxh3_128_digest(b"\n".join(keys[i:i + k]))[:12]) for i, k in zip(first.tolist(), long.tolist(), strict=True) if i + k <= n]
+    for k, least in ((2, config.words_of_two), (1, config.words_of_one)):
+        if n >= k:
+            out += [(i, k, xxh3_128_digest(b"\n".join(keys[i:i + k]))[:12]) for i in np.flatnonzero(words[k:] - words[:-k] >= least).tolist()]
     return out
 
 
@@ -85,14 +90,14 @@ def places(docs: DataFrame, id_col: str, text_col: str, config: Config) -> DataF
         for b in batches:
             rows = [(i, h, runs(t, config)) for i, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), common.texts_of(b.column(2)), strict=True)]
             sizes = [len(r) for _, _, r in rows]
-            digests = np.frombuffer(b"".join(x[2] for _, _, r in rows for x in r), np.int64).reshape(-1, 2)
+            digests = np.frombuffer(b"".join(x[2] for _, _, r in rows for x in r), [("h1", "<i8"), ("h2", "<i4")])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(np.array([r[0] for r in rows], np.int64), sizes)), pa.array(np.repeat(np.array([r[1] for r in rows], np.int64), sizes)),
+                [pa.array(np.repeat(np.array([r[0] for r in rows], np.int64), sizes)), pa.array(np.repeat(np.array([r[1] for r in rows], np.int32), sizes)),
                  pa.array([x[0] for _, _, r in rows for x in r], pa.int32()), pa.array([x[1] for _, _, r in rows for x in r], pa.int32()),
-                 pa.array(np.ascontiguousarray(digests[:, 0])), pa.array(np.ascontiguousarray(digests[:, 1]))], names=["id", "text_hash", "at", "size", "h1", "h2"])
+                 pa.array(digests["h1"].copy()), pa.array(digests["h2"].copy())], names=["id", "text_hash", "at", "size", "h1", "h2"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), text_col).filter("id is not null")
-    return rows.mapInArrow(run, "id long, text_hash long, at int, size int, h1 long, h2 long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.hash(text_col).alias("text_hash"), text_col).filter("id is not null")
+    return rows.mapInArrow(run, "id long, text_hash int, at int, size int, h1 long, h2 int")
 
 
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", config: Config = Config()) -> DataFrame:
@@ -110,7 +115,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     kept = docs.drop("n_sentences_dropped")
     names = [common.fresh(kept, c) for c in ("gone_id", "gone_text", "gone_sentences")]
     gone = repeats(docs, id_col=id_col, text_col=text_col, config=config).toDF(*names)
-    joined = kept.join(gone, (kept[id_col].cast("long") == gone[names[0]]) & (F.xxhash64(kept[text_col]) == gone[names[1]]), "left").drop(*names[:2])
+    joined = kept.join(gone, (kept[id_col].cast("long") == gone[names[0]]) & (F.hash(kept[text_col]) == gone[names[1]]), "left").drop(*names[:2])
     columns = kept.columns
     at = columns.index(text_col)
 
