@@ -11,18 +11,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of one Arrow batch.  Texts may be long, so batches are small; a Python
-#: worker then holds a few MB of text at a time, whatever the table's size.
-BATCH_ROWS = 512
+#: Bytes of one Arrow batch.  Texts may be long; a Python worker holds a few of
+#: these at a time, whatever the table's size.  A row that is larger is a batch.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+def small_batches(spark: SparkSession) -> None:
     """Bounds what one Arrow batch holds for the Python stages of a query."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:

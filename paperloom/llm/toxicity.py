@@ -71,13 +71,13 @@ def bag(text: str, memo: common.Memo) -> tuple[np.ndarray, np.ndarray]:
     for w in WORD.findall(text.lower()):
         seen[w] = seen.get(w, 0) + 1
     if not seen:
-        return np.zeros(0, np.int64), np.zeros(0, np.float32)
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
     ids, counts = [memo[w] for w in seen], np.array(list(seen.values()), np.float64)
     sizes = np.array([len(x) for x in ids])
     flat = np.concatenate(ids)
     weights = np.repeat(counts / sizes / counts.sum(), sizes)
     order, place = np.unique(flat, return_inverse=True)
-    return order, np.bincount(place, weights).astype(np.float32)
+    return order.astype(np.int32), np.bincount(place, weights).astype(np.float32)
 
 
 def fit(texts: list[str], labels: np.ndarray, frequency: dict, config: Config = Config()) -> Model:

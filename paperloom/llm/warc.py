@@ -113,7 +113,7 @@ def firsts(pages: DataFrame, least: int) -> DataFrame:
 
 def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", config: Config = Config()) -> None:
     """Writes one record a row, and continuation records, to gzipped archives in ``path``."""
-    common.small_batches(pages.sparkSession, 64)
+    common.small_batches(pages.sparkSession)
     rows = (pages.select(F.col(id_col).cast("long").alias("row_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
             .filter("row_id is not null"))
     rows = rows.groupBy("row_id").agg(F.max(F.struct("payload", "url")).alias("p")).select("row_id", "p.url", "p.payload") if _repeats(rows) else rows
@@ -197,7 +197,7 @@ def _in_batches(rows: Iterable[tuple], schema: str, most: int = 4_000_000) -> It
 
 def read_segments(spark: SparkSession, path: str, cut_only: bool = False) -> DataFrame:
     """The records of the archives in ``path``, one row each, whatever their type; ``cut_only``: those with a segment number."""
-    common.small_batches(spark, 1)
+    common.small_batches(spark)
 
     def run(batches: Iterable[pa.RecordBatch]):
         for b in batches:
@@ -243,7 +243,7 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     A record without a segment number is whole and decoded where it is read.
     Only cut ones are grouped, by their origin.
     """
-    common.small_batches(spark, 1)
+    common.small_batches(spark)
 
     def whole(batches):
         for b in batches:
