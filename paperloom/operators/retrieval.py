@@ -67,17 +67,20 @@ def _block_top_k(vectors: DataFrame, block: list, k: int, id_col: str, vector_co
 
     def run(parts):
         ids, q = sent.value
+        n = len(ids)
+        best_id, best = np.zeros((n, 0), np.int64), np.zeros((n, 0))
         for pdf in parts:
             pdf = pdf[[v is not None and len(v) == q.shape[1] for v in pdf[vector_col]]]
             if not len(pdf):
                 continue
-            own = pdf[id_col].to_numpy()
+            own = pdf[id_col].to_numpy(np.int64)
             scores = np.round(q @ _unit(np.stack(pdf[vector_col].to_numpy()).astype(float)).T, 9)
             scores[ids[:, None] == own[None, :]] = -np.inf
-            order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :k]
-            rows = np.repeat(np.arange(len(ids)), order.shape[1])
-            flat = order.ravel()
-            out = pd.DataFrame({"query_id": ids[rows], "id": own[flat], "score": scores[rows, flat]})
-            yield out[np.isfinite(out["score"])]
+            # what the task has kept so far and this batch, brought down to k again
+            best_id, best = np.hstack([best_id, np.broadcast_to(own, scores.shape)]), np.hstack([best, scores])
+            order = np.lexsort((best_id, -best), axis=1)[:, :k]
+            best_id, best = np.take_along_axis(best_id, order, 1), np.take_along_axis(best, order, 1)
+        out = pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "id": best_id.ravel(), "score": best.ravel()})
+        yield out[np.isfinite(out["score"])]
 
     return vectors.select(F.col(id_col).cast("long").alias(id_col), vector_col).mapInPandas(run, "query_id long, id long, score double")
