@@ -67,24 +67,35 @@ def line_containing(lines: Column, needles: Sequence[str]) -> Column:
     return F.try_element_at(F.filter(lines, lambda x: X.contains_any(F.lower(x), low)), F.lit(1))
 
 
-def labelled_sections(lines: Column) -> Column:
-    """(section, line) of every line that is no heading; a heading names what follows, ``body`` what comes before."""
+def labelled_sections(lines: Column, headings: bool = False) -> Column:
+    """(section, line) of every line that is no heading; a heading names what follows, ``body`` what comes before.
+
+    With ``headings`` each heading has a row too, with a null line, so that sections
+    have their places even where they are empty.
+    """
     start = F.struct(F.lit("body").alias("section"), F.array().cast("array<struct<section:string,line:string>>").alias("rows"))
 
     def step(acc: Column, x: Column) -> Column:
-        head = X.is_heading(x)
-        return F.struct(F.when(head, X.norm(x)).otherwise(acc["section"]).alias("section"),
-                        F.when(head, acc["rows"]).otherwise(F.concat(acc["rows"], F.array(F.struct(acc["section"].alias("section"), x.alias("line"))))).alias("rows"))
+        def on(head: Column) -> Column:
+            name = F.when(head, X.norm(x)).otherwise(acc["section"])
+            row = F.array(F.struct(name.alias("section"), F.when(~head, x).alias("line")))
+            return F.struct(name.alias("section"), F.when(head & F.lit(not headings), acc["rows"]).otherwise(F.concat(acc["rows"], row)).alias("rows"))
+
+        return X.bind(X.is_heading(x), on)
 
     return F.aggregate(lines, start, step)["rows"]
 
 
+def _said(sections: Column, name: Column) -> Column:
+    return F.filter(F.transform(F.filter(sections, lambda s: s["section"] == name), lambda s: s["line"]), lambda x: x.isNotNull())
+
+
 def exact_section(sections: Column, label: str) -> Column:
-    return F.transform(F.filter(sections, lambda s: s["section"] == X.plain_norm(label)), lambda s: s["line"])
+    return _said(sections, F.lit(X.plain_norm(label)))
 
 
 def fuzzy_section(sections: Column, labels: Sequence[str]) -> Column:
-    """Lines of sections whose name contains a label or is part of one, sections in the order of their first line."""
+    """Lines of sections whose name contains a label or is part of one, sections in the order of their first row."""
     plain = [X.plain_norm(x) for x in labels]
 
     def fits(name: Column) -> Column:
@@ -93,11 +104,7 @@ def fuzzy_section(sections: Column, labels: Sequence[str]) -> Column:
             out = out | F.contains(name, F.lit(p)) | F.contains(F.lit(p), name)
         return out
 
-    def of(ss: Column) -> Column:
-        names = F.array_distinct(F.transform(ss, lambda s: s["section"]))
-        return F.flatten(F.transform(F.filter(names, fits), lambda n: F.transform(F.filter(ss, lambda s: s["section"] == n), lambda s: s["line"])))
-
-    return X.bind(sections, of)
+    return X.bind(sections, lambda ss: F.flatten(F.transform(F.filter(F.array_distinct(F.transform(ss, lambda s: s["section"])), fits), lambda n: _said(ss, n))))
 
 
 def entry_groups(lines: Column) -> Column:

@@ -70,13 +70,13 @@ INVOICE_MARKERS = ("invoice", "facture", "total", "subtotal", "vat", "tax", "amo
 CV_MARKERS = ("experience", "education", "skills", "curriculum vitae", "resume", "expérience", "formation", "compétences", "خبرة", "مهارات", "تعليم")
 LEGAL_MARKERS = ("agreement", "contract", "parties", "whereas", "obligations", "governing law", "contrat", "عقد", "اتفاقية")
 TYPE_KEYWORDS = {
-    "cv": (*CV_MARKERS, "experience", "education", "skills", "work history", "curriculum vitae", "resume", "profile", "expérience", "formation", "compétences", "خبرة", "مهارات", "تعليم", "السيرة الذاتية"),
-    "invoice": (*INVOICE_MARKERS, "invoice", "total", "amount due", "payment", "subtotal", "vat", "tax", "facture", "montant", "tva", "devis", "فاتورة", "المبلغ الإجمالي", "الدفع"),
-    "contract": (*LEGAL_MARKERS, "agreement", "terms and conditions", "signed", "party", "parties", "contract", "contrat", "signature", "عقد", "اتفاقية", "الطرف"),
+    "cv": (*sorted(CV_MARKERS), "experience", "education", "skills", "work history", "curriculum vitae", "resume", "profile", "expérience", "formation", "compétences", "خبرة", "مهارات", "تعليم", "السيرة الذاتية"),
+    "invoice": (*sorted(INVOICE_MARKERS), "invoice", "total", "amount due", "payment", "subtotal", "vat", "tax", "facture", "montant", "tva", "devis", "فاتورة", "المبلغ الإجمالي", "الدفع"),
+    "contract": (*sorted(LEGAL_MARKERS), "agreement", "terms and conditions", "signed", "party", "parties", "contract", "contrat", "signature", "عقد", "اتفاقية", "الطرف"),
     "id_card": ("national id", "identity card", "date of birth", "nationality", "carte d'identité", "cin", "رقم الهوية", "تاريخ الميلاد", "الجنسية"),
     "form": ("please fill", "checkbox", "signature required", "form", "application", "formulaire", "استمارة", "يرجى تعبئة"),
     "signature": ("signature", "signed by", "authorized by", "signatory", "signature requise", "signé par", "approved by", "توقيع", "الإمضاء", "ختم"),
-    "legal": (*LEGAL_MARKERS, "court", "article", "regulation", "law", "judgment", "tribunal", "loi", "المحكمة", "قانون", "مرسوم"),
+    "legal": (*sorted(LEGAL_MARKERS), "court", "article", "regulation", "law", "judgment", "tribunal", "loi", "المحكمة", "قانون", "مرسوم"),
     "administrative": ("ministry", "department", "official document", "reference number", "certificate", "ministère", "attestation", "وزارة", "إدارة", "وثيقة رسمية"),
 }
 

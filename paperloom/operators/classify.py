@@ -15,46 +15,41 @@ from ..functions import text as X
 TYPES = tuple(P.TYPE_KEYWORDS)
 
 
-def hits(text: Column, doc_type: str) -> Column:
-    """How many of a type's keywords the lower-cased text contains; a keyword listed twice counts twice."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    counted: dict[str, int] = {}
-    for k in P.TYPE_KEYWORDS[doc_type]:
-        counted[k.lower()] = counted.get(k.lower(), 0) + 1
-    return sum((F.when(F.contains(low, F.lit(k)), n).otherwise(0) for k, n in counted.items()), F.lit(0))
+def hits(low: Column, doc_type: str) -> Column:
+    """How many of a type's keywords a lower-cased text contains; a keyword listed twice counts twice."""
+    return F.size(F.filter(F.array(*[F.lit(k.lower()) for k in P.TYPE_KEYWORDS[doc_type]]), lambda k: F.contains(low, k)))
 
 
-def type_scores(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc_type, hits, share): share of all hits, 0 without any."""
-    counted = docs.select("doc_id", F.array(*[F.struct(F.lit(i).alias("type_order"), F.lit(t).alias("doc_type"), hits(F.col("text"), t).alias("hits")) for i, t in enumerate(TYPES)]).alias("s"))
-    total = F.aggregate("s", F.lit(0), lambda a, x: a + x["hits"])
-    return (counted.select("doc_id", total.alias("total"), F.inline("s"))
-            .select("doc_id", "type_order", "doc_type", "hits", F.when(F.col("total") > 0, F.col("hits") / F.col("total")).otherwise(0.0).alias("share")))
+def _scores(text: Column, more: dict[str, Column] | None = None) -> Column:
+    """(hits, -order, type) of every type, as an array; ``more`` is added to the hits."""
+    more = more or {}
+    return X.bind(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.array(*[
+        F.struct((hits(low, t).cast("double") + more.get(t, F.lit(0.0))).alias("hits"), F.lit(-i).alias("o"), F.lit(t).alias("type")) for i, t in enumerate(TYPES)]))
+
 
+def _total(scores: Column) -> Column:
+    return F.aggregate(scores, F.lit(0.0), lambda a, x: a + x["hits"])
 
-def _best(text: Column) -> Column:
-    """(hits, type) of the best type, the first of equals."""
-    found = F.array(*[F.struct(hits(text, t).alias("hits"), F.lit(-i).alias("o"), F.lit(t).alias("type")) for i, t in enumerate(TYPES)])
-    return X.bind(found, lambda s: F.struct(F.array_max(s).alias("best"), F.aggregate(s, F.lit(0), lambda a, x: a + x["hits"]).alias("total")))
+
+def type_scores(docs: DataFrame) -> DataFrame:
+    """(doc_id, type_order, doc_type, hits, share): share of all hits, 0 without any."""
+    rows = docs.select("doc_id", _scores(F.col("text")).alias("s")).select("doc_id", _total(F.col("s")).alias("total"), F.inline("s"))
+    return rows.select("doc_id", (-F.col("o")).alias("type_order"), F.col("type").alias("doc_type"), F.col("hits").cast("int").alias("hits"), F.when(F.col("total") > 0, F.col("hits") / F.col("total")).otherwise(0.0).alias("share"))
 
 
 def with_type(docs: DataFrame) -> DataFrame:
     """``docs`` with doc_type, computed in the row."""
-    best = _best(F.col("text"))["best"]
-    return docs.withColumn("doc_type", X.bind(best, lambda b: F.when(b["hits"] > 0, b["type"]).otherwise("unknown")))
+    return docs.withColumn("doc_type", X.bind(F.array_max(_scores(F.col("text"))), lambda b: F.when(b["hits"] > 0, b["type"]).otherwise("unknown")))
 
 
 def document_type(docs: DataFrame, *, floor: float | None = None, visual: dict[str, Column] | None = None) -> DataFrame:
-    """(doc_id, doc_type, confidence).  Under ``floor`` the type is unknown, with the confidence it had.
+    """(doc_id, doc_type, confidence): the type of the most hits, the first of equals, and its share of all.
 
-    ``visual`` adds scores from image metrics: type -> column of ``docs``.
+    Under ``floor`` the type is unknown, with the confidence it had.  ``visual`` adds
+    scores from image metrics: type -> column of ``docs``.
     """
-    if visual:
-        scores = [F.struct((hits(F.col("text"), t) + visual.get(t, F.lit(0.0))).cast("double").alias("hits"), F.lit(-i).alias("o"), F.lit(t).alias("type")) for i, t in enumerate(TYPES)]
-        b = X.bind(F.array(*scores), lambda s: F.struct(F.array_max(s).alias("best"), F.aggregate(s, F.lit(0.0), lambda a, x: a + x["hits"]).alias("total")))
-    else:
-        b = _best(F.col("text"))
-    found = docs.select("doc_id", b.alias("b")).select(
+    best = X.bind(_scores(F.col("text"), visual), lambda s: F.struct(F.array_max(s).alias("best"), _total(s).alias("total")))
+    found = docs.select("doc_id", best.alias("b")).select(
         "doc_id", F.when(F.col("b.best.hits") > 0, F.col("b.best.type")).otherwise("unknown").alias("doc_type"),
         F.when(F.col("b.best.hits") > 0, F.col("b.best.hits") / F.col("b.total")).otherwise(0.0).alias("confidence"))
     return found if floor is None else found.withColumn("doc_type", F.when(F.col("confidence") < floor, "unknown").otherwise(F.col("doc_type")))

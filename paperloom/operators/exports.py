@@ -74,7 +74,7 @@ def cv_data(text: Column) -> Column:
             F.struct(education(ss).alias("formation")).alias("education"), work(ss).alias("work_experience"), skills.alias("skills"), languages(ss).alias("languages"),
             certifications(ss).alias("certifications"), projects(ss).alias("projects"))
 
-    return X.bind(X.nonempty_lines(text), lambda ls: X.bind(D.labelled_sections(ls), lambda ss: of(ls, ss)))
+    return X.bind(X.nonempty_lines(text), lambda ls: X.bind(D.labelled_sections(ls, headings=True), lambda ss: of(ls, ss)))
 
 
 def invoice_data(text: Column) -> Column:

@@ -73,3 +73,11 @@ def test_geometry(spark):
         assert one(spark, G.confidence(F.col("c")), c=c_) == pytest.approx(want)
     box = spark.sql("select array(10.0D, 20.0D, 5.0D, 6.0D) b, array(1.0D) s").select(G.from_any(F.col("b")).alias("b"), G.from_any(F.col("s")).alias("s")).first()
     assert tuple(box.b) == (10.0, 20.0, 15.0, 26.0) and box.s is None
+
+
+def test_sections_keep_the_order_of_their_headings(spark):
+    ls = ["before", "SKILLS", "Education", "a school", "skills", "one", "EDUCATION", "another"]
+    rows = D.labelled_sections(F.col("ls"), headings=True)
+    assert one(spark, D.fuzzy_section(rows, ("skills", "education")), ls=ls) == ["one", "a school", "another"]
+    assert [(r.section, r.line) for r in one(spark, D.labelled_sections(F.col("ls")), ls=ls)] == [("body", "before"), ("education", "a school"), ("skills", "one"), ("education", "another")]
+    assert one(spark, D.exact_section(rows, "Éducation"), ls=ls) == ["a school", "another"]
