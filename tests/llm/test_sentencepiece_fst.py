@@ -29,7 +29,7 @@ def test_ids_equal_those_of_the_library(pair):
     for t in [*texts(1500), "", " ", "a" * 5000, "the " * 4000, "!?" * 3000, " " * 300]:
         ids = own.encode(t)
         assert ids.tolist() == library.encode(t)
-        assert own.decode(ids) == t
+        assert own.decode(ids) == t.replace("▁", " ")  # the mark itself reads as the space that it stands for
 
 
 def test_any_pair_that_may_follow_is_kept_by_merging(pair):
