@@ -15,10 +15,10 @@ PAIR = "array<struct<key:string,value:string,pos:int>>"
 
 def pairs(lines: Column, least_key: int = 1) -> Column:
     """(key, value, pos) of every line with a colon, cut at the first one; key normalised, neither may be blank."""
-    with_colon = F.transform(lines, lambda x, i: F.struct(X.norm_key(F.substring_index(x, ":", 1)).alias("key"),
-                                                          X.strip(F.regexp_replace(x, "^[^:]*:", "")).alias("value"), i.cast("int").alias("pos"), F.contains(x, F.lit(":")).alias("has")))
-    kept = F.filter(with_colon, lambda p: p["has"] & (F.char_length(p["key"]) >= least_key) & (p["value"] != ""))
-    return F.transform(kept, lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value"), p["pos"].alias("pos")))
+    numbered = F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.cast("int").alias("pos")))
+    cut = F.transform(F.filter(numbered, lambda p: F.contains(p["x"], F.lit(":"))), lambda p: F.struct(
+        X.norm_key(F.substring_index(p["x"], ":", 1)).alias("key"), X.strip(F.substring(p["x"], F.instr(p["x"], ":") + 1, F.char_length(p["x"]))).alias("value"), p["pos"].alias("pos")))
+    return F.filter(cut, lambda p: (F.char_length(p["key"]) >= least_key) & (p["value"] != ""))
 
 
 def last_wins(found: Column) -> Column:

@@ -25,6 +25,10 @@ def _folding() -> tuple[str, str]:
 _MARKED, _PLAIN = _folding()
 
 
+#: What counts as white space at a text's ends.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def bind(value: Column, use) -> Column:
     """``use`` of a value that is computed once."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -32,7 +36,8 @@ def bind(value: Column, use) -> Column:
 
 def fold(text: Column) -> Column:
     """Lower case without accents, for Latin letters."""
-    return F.regexp_replace(F.translate(F.lower(text), _MARKED, _PLAIN), "[\\u0300-\\u036f]", "")
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.when(plain, F.lower(text)).otherwise(F.regexp_replace(F.translate(F.lower(text), _MARKED, _PLAIN), "[\\u0300-\\u036f]", ""))
 
 
 def norm(text: Column) -> Column:
@@ -51,7 +56,7 @@ def norm_text(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space at the ends, of any kind."""
-    return F.regexp_replace(text, "(?U)^\\s+|\\s+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def nonempty_lines(text: Column) -> Column:

@@ -121,12 +121,16 @@ def candidates(rows: DataFrame, *, least_confidence: float = 0.7) -> DataFrame:
 
 def invoice_totals(docs: DataFrame) -> DataFrame:
     """(doc_id, subtotal, tax, total): amounts by key; the subtotal else is the sum of the items, the total else subtotal and tax."""
-    ls = X.nonempty_lines(F.col("text"))
-    rows = docs.select("doc_id", D.last_wins(D.pairs(ls)).alias("kv"), item_sum(ls).alias("items"))
-    amount = lambda *keys: X.number(D.first_value(F.col("kv"), keys))
-    found = rows.select("doc_id", F.coalesce(amount("subtotal", "sous_total", "sub_total"), F.nullif("items", F.lit(0.0))).alias("subtotal"), amount("tax", "vat", "tva").alias("tax"),
-                        amount("total", "grand_total", "amount_due", "montant_total").alias("total"))
-    return found.select("doc_id", "subtotal", "tax", F.coalesce("total", F.col("subtotal") + F.col("tax")).alias("total"))
+    def totals(ls: Column) -> Column:
+        def of(kv: Column) -> Column:
+            amount = lambda *keys: X.number(D.first_value(kv, keys))
+            return F.struct(F.coalesce(amount("subtotal", "sous_total", "sub_total"), F.nullif(item_sum(ls), F.lit(0.0))).alias("subtotal"), amount("tax", "vat", "tva").alias("tax"),
+                            amount("total", "grand_total", "amount_due", "montant_total").alias("total"))
+
+        return X.bind(D.last_wins(D.pairs(ls)), of)
+
+    found = docs.select("doc_id", X.bind(X.nonempty_lines(F.col("text")), totals).alias("t"))
+    return found.select("doc_id", "t.subtotal", "t.tax", F.coalesce("t.total", F.col("t.subtotal") + F.col("t.tax")).alias("total"))
 
 
 def pipe_table(ls: Column) -> Column:
@@ -135,10 +139,8 @@ def pipe_table(ls: Column) -> Column:
     return F.filter(rows, lambda r: F.exists(r, lambda c: c != ""))
 
 
-def _header(row: Column, names: tuple[str, ...]) -> Column:
-    """The place, from 1, of the first cell that contains a name, names in turn."""
-    cells = F.transform(row, X.norm)
-
+def _header(cells: Column, names: tuple[str, ...]) -> Column:
+    """The place, from 1, of the first normalised cell that contains a name, names in turn."""
     def place(name: str) -> Column:
         return F.nullif(F.array_position(F.transform(cells, lambda c: F.contains(c, F.lit(name))), F.lit(True)), F.lit(0))
 
@@ -147,13 +149,18 @@ def _header(row: Column, names: tuple[str, ...]) -> Column:
 
 def table_items(rows: Column) -> Column:
     """description, price, quantity, total of a table's rows under its header; rows without a description go."""
-    head = F.try_element_at(rows, F.lit(1))
     cell = lambda r, at: F.coalesce(F.trim(F.try_element_at(r, at)), F.lit(""))
-    places = F.struct(F.coalesce(_header(head, ("description", "designation", "article", "item", "service")), F.lit(1)).alias("d"), _header(head, ("price", "prix", "unit", "unitaire")).alias("p"),
-                      _header(head, ("qty", "quantity", "quantité", "quantite")).alias("q"), _header(head, ("total", "montant")).alias("t"))
-    items = X.bind(places, lambda k: F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows), F.lit(0))), lambda r: F.struct(
-        cell(r, k["d"]).alias("description"), X.number(cell(r, k["p"])).alias("price"), X.number(cell(r, k["q"])).alias("quantity"), X.number(cell(r, k["t"])).alias("total"))))
-    return F.filter(items, lambda i: i["description"] != "")
+
+    def places(cells: Column) -> Column:
+        return F.struct(F.coalesce(_header(cells, ("description", "designation", "article", "item", "service")), F.lit(1)).alias("d"), _header(cells, ("price", "prix", "unit", "unitaire")).alias("p"),
+                        _header(cells, ("qty", "quantity", "quantité", "quantite")).alias("q"), _header(cells, ("total", "montant")).alias("t"))
+
+    def items(rs: Column) -> Column:
+        head = X.bind(F.transform(F.try_element_at(rs, F.lit(1)), X.norm), places)
+        return X.bind(head, lambda k: F.transform(F.slice(rs, F.lit(2), F.size(rs)), lambda r: F.struct(
+            cell(r, k["d"]).alias("description"), X.number(cell(r, k["p"])).alias("price"), X.number(cell(r, k["q"])).alias("quantity"), X.number(cell(r, k["t"])).alias("total"))))
+
+    return F.filter(X.bind(rows, items), lambda i: i["description"] != "")
 
 
 def item_sum(ls: Column) -> Column:
