@@ -22,7 +22,8 @@ these memos, not by the text, however long.
 
 A null text encodes to null, an empty one to no ids.  Decoding is exact: it
 returns the text that was encoded, as long as the normaliser is the identity
-(it is, for spaces, in this model), with ill-formed bytes replaced.
+(it is, but for the word mark itself, which reads as a space), with ill-formed
+bytes replaced.
 """
 
 from __future__ import annotations
