@@ -1,11 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences after . ! or ? with white space behind, and at
-newlines.  From every sentence on, the shortest run of three or more sentences
-that has ``words`` words is hashed, and so are runs of two sentences, and single
-ones, that are long by themselves (96 bits, white space within a sentence
-squeezed).  A run found more
-than once is repeated; its first place is the least (id, position).  Sentences
+newlines.  From every sentence on, the shortest run of sentences that has
+``words`` words is hashed, be it one sentence or many (96 bits, white space
+within a sentence squeezed).  A run found more than once is repeated; its first place is the least (id, position).  Sentences
 covered by any run at another place go, and what is left is put together again
 as it stood.
 
@@ -38,9 +36,7 @@ GAP = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 
 @dataclass(frozen=True)
 class Config:
-    words: int = 30  #: words of a run of three or more sentences, at least
-    words_of_two: int = 30  #: words of a run of two, at least
-    words_of_one: int = 30  #: words of a sentence that is a run by itself, at least
+    words: int = 15  #: words of a run, at least
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -60,13 +56,9 @@ def runs(text: str, config: Config) -> list[tuple[int, int, bytes]]:
     parts = [text[a:b].split() for a, b in sentences(text)]
     words = np.cumsum([0, *map(len, parts)])
     keys = [" ".join(p).encode("utf-8", "surrogatepass") for p in parts]
-    n, first = len(parts), np.arange(len(parts))
-    long = np.maximum(3, np.searchsorted(words, words[:-1] + config.words) - first)
-    out = [(i, k, xxh3_128_digest(b"\n".join(keys[i:i + k]))[:12]) for i, k in zip(first.tolist(), long.tolist(), strict=True) if i + k <= n]
-    for k, least in ((2, config.words_of_two), (1, config.words_of_one)):
-        if n >= k:
-            out += [(i, k, xxh3_128_digest(b"\n".join(keys[i:i + k]))[:12]) for i in np.flatnonzero(words[k:] - words[:-k] >= least).tolist()]
-    return out
+    until = np.searchsorted(words, words[:-1] + config.words).tolist()
+    spans = [(i, j) for i, j in enumerate(until) if j <= len(parts)]
+    return [(i, j - i, xxh3_128_digest(b"\n".join(keys[i:j]))[:12]) for i, j in spans]
 
 
 def without(text: str, gone: set[int]) -> str:

@@ -145,6 +145,17 @@ def test_substring_dedup_leaves_clean_texts_alone(spark):
     assert {(r.doc_id, r.text) for r in got} == set(rows) and not any(r.n_sentences_dropped for r in got)
 
 
+def numbered(tag, *sizes):
+    return [" ".join(f"{tag}{k}x{j}" for j in range(n)) + "." for k, n in enumerate(sizes)]
+
+
+def test_substring_dedup_finds_short_whole_sentences_of_a_passage(spark):
+    # the passage's first and last sentences run into each host's text: 16 words in two sentences are whole
+    rows = [(k, " ".join([f"host{k}", *numbered("p", 20, 9, 7), "end", f"of{k} host."])) for k in range(2)]
+    got = {r.doc_id: r for r in substring_dedup.dedup_substrings(frame(spark, rows)).collect()}
+    assert got[0].text == rows[0][1] and got[1].n_sentences_dropped == 2 and "p1x0" not in got[1].text and "p0x5" in got[1].text
+
+
 def test_decontamination_tolerates_substitutions(spark):
     rng = random.Random(9)
     words = ["tok%d" % k for k in range(3000)]
