@@ -7,13 +7,17 @@ fraction is the same for all, the sketch of two texts together is the union of
 theirs, and the share of one text's shingles that another holds can be told
 from the sketches, however unequal the texts are.
 
-Null texts are empty.  An empty sketch equals an empty sketch (likeness 1) and
-has likeness 0 with any other.  Equal texts have equal sketches.
+A text of few shingles may keep no hash.  Where the sketch of a text or of its
+edited text has at most ``few`` hashes, both are compared by all their shingles; a
+text is compared so with the next document where both sketches have.
+
+Null texts are empty.  Two texts without words have likeness 1; any other has
+likeness 0 with them.  Equal texts have equal sketches.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +30,7 @@ from . import common
 class Config:
     words: int = 5  #: words of a shingle
     one_in: int = 4  #: one hash in so many is kept
+    few: int = 20  #: hashes of a sketch up to which a text is compared by all its shingles
 
 
 def sketch(text: Column, config: Config = Config()) -> Column:
@@ -45,6 +50,11 @@ def sketch(text: Column, config: Config = Config()) -> Column:
     return F.array_sort(F.array_distinct(kept))
 
 
+def whole(text: Column, config: Config = Config()) -> Column:
+    """The sorted distinct hashes of all shingles."""
+    return sketch(text, replace(config, one_in=1))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """The share of common shingles among all of both (Jaccard), from sketches."""
     both = F.size(F.array_intersect(a, b))
@@ -102,13 +112,19 @@ def fingerprint_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     order = with_next(sizes, "id", "size").select(F.col("id"), "next_id", "before")
     # who needs this document: the one before it; ``order`` is read both ways, so the row names its follower
     base = rows.groupBy("id").agg(F.min("text").alias("text")).join(order, "id").withColumn("fingerprint", sketch(F.col("text"), config))
+    base = base.withColumn("all", F.when(F.size("fingerprint") <= config.few, whole(F.col("text"), config)))
     before = order.select(F.col("next_id").alias("id"), F.col("id").alias("owner"))
-    given = (base.select("id", F.expr("substring(text, 1, cast(before div 4 as int))").alias("piece"), F.col("fingerprint").alias("next_fingerprint"))
-             .join(before, "id").select(F.col("owner").alias("id"), "piece", "next_fingerprint"))
-    out = base.select("id", "text", "fingerprint").join(given, "id").withColumn("n_chars", F.char_length("text").cast("long"))
+    given = (base.select("id", F.expr("substring(text, 1, cast(before div 4 as int))").alias("piece"), F.col("fingerprint").alias("next_fingerprint"), F.col("all").alias("next_all"))
+             .join(before, "id").select(F.col("owner").alias("id"), "piece", "next_fingerprint", "next_all"))
+    out = base.select("id", "text", "fingerprint", "all").join(given, "id").withColumn("n_chars", F.char_length("text").cast("long"))
     out = out.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 4 as int)), substring(piece, 1, cast(n_chars div 4 as int)))"))
     out = out.withColumn("edited_fingerprint", sketch(F.col("edited"), config))
+    # the two texts of a row: all shingles where either has few
+    either = F.col("all").isNotNull() | (F.size("edited_fingerprint") <= config.few)
+    one, two = F.coalesce("all", whole(F.col("text"), config)), whole(F.col("edited"), config)
+    near_next = (F.when(F.col("all").isNotNull() & F.col("next_all").isNotNull(), likeness(F.col("all"), F.col("next_all")))
+                 .otherwise(likeness(F.col("fingerprint"), F.col("next_fingerprint"))))
     return out.select(F.col("id").alias(id_col), "n_chars", "edited", "fingerprint", "edited_fingerprint",
-                      likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-                      likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
-                      containment(F.col("fingerprint"), F.col("edited_fingerprint")).alias("contained_edited"))
+                      F.when(either, likeness(one, two)).otherwise(likeness(F.col("fingerprint"), F.col("edited_fingerprint"))).alias("near_edited"),
+                      near_next.alias("near_next"),
+                      F.when(either, containment(one, two)).otherwise(containment(F.col("fingerprint"), F.col("edited_fingerprint"))).alias("contained_edited"))

@@ -87,6 +87,18 @@ def test_fingerprints_of_edited_texts(spark):
     assert got[1000].fingerprint == got[1001].fingerprint and got[1000].near_next == 1.0
 
 
+def test_fingerprints_of_short_texts_are_compared_whole(spark):
+    rng = random.Random(8)
+    rows = [(k, " ".join(f"v{rng.randrange(10 ** 6)}" for _ in range(rng.choice([0, 1, 2, 4, 6, 12, 40])))) for k in range(60)]
+    got = {r.doc_id: r for r in fingerprints.fingerprint_edits(frame(spark, rows)).collect()}
+    for i, text, edited, after in edits(rows):
+        a, r = plain_shingles(text), got[i]
+        for near, b in ((r.near_edited, plain_shingles(edited)), (r.near_next, plain_shingles(after))):
+            assert abs(near - (len(a & b) / len(a | b) if a | b else 1.0)) < 1e-9
+        b = plain_shingles(edited)
+        assert abs(r.contained_edited - (len(a & b) / len(a) if a else 1.0)) < 1e-9
+
+
 def test_fingerprint_keeps_each_hash_below_the_fraction(spark):
     from pyspark.sql import functions as F
 
