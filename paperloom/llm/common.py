@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 from collections.abc import Iterable
 
@@ -26,9 +27,15 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is named."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    A local session without one gets a temporary folder of its machine; a
+    cluster without one is an error, as its executors could not share such a folder.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="paperloom-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
@@ -54,65 +61,92 @@ def in_fold(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def sample_by_class(rows: DataFrame, id_col: str, class_col: str, per_class: int, max_classes: int = 64) -> DataFrame:
-    """At most ``per_class`` ids of each class, those with the least hash of their id.
+def class_bounds(rows: DataFrame, class_col: str, per_class: int) -> list[tuple]:
+    """(class, rows, bound): a row of the class is in the sample if its ``sample_rank`` is under the bound.
 
-    The hash puts ids in an order that does not depend on how rows lie in files.
-    Only ids and classes move: each class is a top-k, which Spark merges from
-    per-task top-ks, so neither a task nor the driver sees a whole class.
+    One aggregation, however many classes there are.  The rank is uniform, so
+    ``per_class`` rows are expected under a bound, and a tenth more are let through
+    for ``per_class`` to be there in the end.
     """
-    classes = [r[0] for r in rows.filter(F.col(class_col).isNotNull()).groupBy(class_col).count()
-               .orderBy(F.desc("count"), class_col).limit(max_classes).select(class_col).collect()]
-    rank = F.xxhash64(F.col(id_col).cast("string"), F.lit("sample"))
-    parts = [rows.filter(F.col(class_col) == F.lit(c)).select(id_col, class_col)
-             .orderBy(rank, id_col).limit(per_class) for c in classes]
-    if not parts:
-        return rows.filter(F.lit(False)).select(id_col, class_col)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
+    counts = rows.filter(F.col(class_col).isNotNull()).groupBy(class_col).count().collect()
+    return [(c, n, (1 << 62) if n <= per_class else int((1 << 62) * (1.1 * per_class + 50) / n)) for c, n in sorted(counts)]
+
+
+def sample_rank(*of: str) -> Column:
+    """A number from 0 to 2^62 by a hash: an order that does not depend on how rows lie in files."""
+    return F.shiftrightunsigned(F.xxhash64(*(F.col(c).cast("string") for c in of), F.lit("sample")), 2)
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str,
-                   modulus: int, remainder: int, per_class: int) -> tuple[list[str], np.ndarray, dict]:
+                   modulus: int, remainder: int, per_class: int, most_chars: int = 24_000_000) -> tuple[list[str], np.ndarray, dict]:
     """A bounded sample of training texts, their labels, and how often each label occurs.
 
-    Rows of the held-out fold (``modulus``, ``remainder``) and null labels are
-    never read as training rows.  The ids are picked first, so that only the
-    picked texts travel.  Repeated ids count once each time they occur.
+    At most ``per_class`` rows of each label, those of the least hash of their id,
+    and of these as many, in that order, as ``most_chars`` code points allow; every
+    picked text is whole.  Rows of the held-out fold (``modulus``, ``remainder``) and
+    null labels are never training rows.  Repeated ids count once each time they
+    occur in ``docs``.
     """
     spark = docs.sparkSession
-    train = (labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"))
+    train = (labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"))
              .filter(F.col("id").isNotNull() & F.col("label").isNotNull() & ~in_fold(F.col("id"), modulus, remainder)))
-    freq = {r[0]: r[1] for r in train.groupBy("label").count().collect()}
-    picked = sample_by_class(train, "id", "label", per_class).collect()
-    if not picked:
+    bounds = class_bounds(train, "label", per_class)
+    freq = {c: n for c, n, _ in bounds}
+    if not bounds:
         return [], np.zeros(0, np.int64), freq
-    chosen = spark.createDataFrame([(int(r[0]), int(r[1])) for r in picked], "id long, label long").dropDuplicates(["id"])
-    # at most per_class rows of two numbers for each class: small enough to broadcast, by construction
-    got = (docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-           .join(F.broadcast(chosen), "id").collect())
-    got = sorted((r["id"], r["text"], r["label"]) for r in got)
+    limit = F.coalesce(*(F.when(F.col("label") == c, F.lit(most)) for c, _, most in bounds))
+    found = sorted(train.withColumn("rank", sample_rank("id")).filter(F.col("rank") < limit).select("label", "rank", "id").collect())
+    picked, taken = {}, dict.fromkeys(freq, 0)
+    for label, _, i in found:
+        if taken[label] < per_class and i not in picked:
+            picked[i] = (label, taken[label])
+            taken[label] += 1
+    chosen = spark.createDataFrame([(i, *x) for i, x in picked.items()], "id long, label long, place long")
+    # at most per_class rows of three numbers for each class: small enough to broadcast, by construction
+    whole = (docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+             .join(F.broadcast(chosen), "id"))
+    sizes = sorted(map(tuple, whole.select("place", "id", F.char_length("text")).collect()))
+    total, until = 0, per_class
+    for place, _, size in sizes:
+        total += size
+        if total > most_chars and place:
+            until = place
+            break
+    got = sorted((r["id"], r["text"], r["label"]) for r in whole.filter(F.col("place") < until).collect())
     return [r[1] for r in got], np.array([r[2] for r in got], np.int64), freq
 
 
 class Memo(dict):
-    """A dict that computes missing values and starts anew when it has ``most`` entries; long strings are not kept."""
+    """A dict that computes missing values and holds ``room`` bytes at most.  Long strings are not kept.
 
-    def __init__(self, make, most: int = 400_000):
+    When half the room is taken, what it holds becomes the older half, from which
+    values that are asked for again come back, and the half before that goes.
+    """
+
+    def __init__(self, make, room: int = 32 << 20):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.room, self.took, self.older = make, room, 0, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.older.get(key, self)
+        if value is self:
+            value = self.make(key)
         if type(key) is not str or len(key) <= 64:
-            if len(self) >= self.most:
+            # an entry's share of the table, the key and the value
+            self.took += 90 + sys.getsizeof(key) + sys.getsizeof(value)
+            if self.took > self.room // 2:
+                self.older = dict(self)
                 self.clear()
+                self.took = 0
             self[key] = value
         return value
 
 
+def bind(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: a lambda's variable is how a column function binds one."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def texts_of(column) -> Iterable[str]:
     """The strings of an Arrow column, nulls as empty."""
     return (x or "" for x in column.to_pylist())

@@ -7,9 +7,11 @@ fraction is the same for all, the sketch of two texts together is the union of
 theirs, and the share of one text's shingles that another holds can be told
 from the sketches, however unequal the texts are.
 
-A text of few shingles may keep no hash.  Where the sketch of a text or of its
-edited text has at most ``few`` hashes, both are compared by all their shingles; a
-text is compared so with the next document where both sketches have.
+A sketch always keeps the least hash, so only a text without words has an
+empty one.  Where the sketch of a text or of its edited text has at most ``few``
+hashes, both are compared by all their shingles; a text is compared so with the
+next document where both sketches have.  A fingerprint is the sketch written as
+one string, 16 hex digits a hash, in ascending (signed) order.
 
 Null texts are empty.  Two texts without words have likeness 1; any other has
 likeness 0 with them.  Equal texts have equal sketches.
@@ -33,8 +35,12 @@ class Config:
     few: int = 20  #: hashes of a sketch up to which a text is compared by all its shingles
 
 
+def _bound(config: Config) -> int:
+    return min((1 << 63) - 1, -(1 << 63) + (1 << 64) // config.one_in)
+
+
 def sketch(text: Column, config: Config = Config()) -> Column:
-    """The sorted distinct hashes that the sketch keeps."""
+    """The sorted distinct hashes that the sketch keeps: all under the bound, or the least one where none is."""
     n = config.words
     words = F.filter(F.split(F.lower(text), "\\s+"), lambda w: w != "")
     # words are hashed once each; a shingle is the hash of its words' hashes
@@ -44,10 +50,16 @@ def sketch(text: Column, config: Config = Config()) -> Column:
         long = F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(n)]))
         return F.when(F.size(h) >= n, long).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
 
-    bound = min((1 << 63) - 1, -(1 << 63) + (1 << 64) // config.one_in)
-    # a lambda's variable is how a column function binds a value once
-    kept = F.flatten(F.transform(F.array(hashes), lambda h: F.filter(shingles(h), lambda x: x <= F.lit(bound))))
-    return F.array_sort(F.array_distinct(kept))
+    def kept(every: Column) -> Column:
+        under = F.filter(every, lambda x: x <= F.lit(_bound(config)))
+        return common.bind(under, lambda u: F.when((F.size(u) > 0) | (F.size(every) == 0), u).otherwise(F.array(F.array_min(every))))
+
+    return F.array_sort(F.array_distinct(common.bind(common.bind(hashes, shingles), kept)))
+
+
+def written(sketched: Column) -> Column:
+    """A sketch as one string."""
+    return F.array_join(F.transform(sketched, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
 def whole(text: Column, config: Config = Config()) -> Column:
@@ -67,9 +79,11 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
-def merge(a: Column, b: Column) -> Column:
-    """The sketch of two texts together."""
-    return F.array_sort(F.array_union(a, b))
+def merge(a: Column, b: Column, config: Config = Config()) -> Column:
+    """The sketch of two texts together; a lone least hash over the bound goes where the other text has one under it."""
+    under = F.filter(F.array_union(a, b), lambda x: x <= F.lit(_bound(config)))
+    least = F.slice(F.array_sort(F.array_union(a, b)), 1, 1)
+    return F.when(F.size(under) > 0, F.array_sort(under)).otherwise(least)
 
 
 def with_next(ids: DataFrame, id_col: str, other: str) -> DataFrame:

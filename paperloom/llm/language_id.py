@@ -7,31 +7,31 @@ bytes that belong to letters.  The network is trained in numpy by
 backpropagation through time.  Windows are lanes of one array, so that a very
 long text is only more lanes, and memory depends on ``lanes`` alone.
 
-A text that is null, empty or without letters is ``und`` with score 0.  Ties go
+A text that is null, empty or without letters (Unicode's L) is ``und`` with score 0.  Ties go
 to the first label in alphabetical order.  Repeated rows get equal labels, one
 for each row.  With no training rows every text is ``und``.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass(frozen=True)
 class Config:
     per_class: int = 150  #: documents of each language used for training, at most
-    max_classes: int = 64  #: languages learned, at most: the most frequent ones
-    windows_each: int = 6  #: training windows drawn from each of them
+    windows_each: int = 6  #: training windows drawn from each of them, anywhere in the text
     window: int = 96  #: bytes of a window
     hidden: int = 8  #: units of each direction
     lanes: int = 2048  #: windows labelled at once
@@ -102,23 +102,32 @@ def _probabilities(logits: np.ndarray) -> np.ndarray:
     return e / e.sum(-2, keepdims=True)
 
 
+def windows(text: str, config: Config) -> list[bytes]:
+    """Training windows at places drawn by a hash of the text; none for a text without letters."""
+    raw = text.encode("utf-8", "replace")
+    if not LETTER.search(text):
+        return []
+    room = max(1, len(raw) - config.window + 1)
+    starts = np.random.default_rng([config.seed, crc32(raw)]).integers(0, room, config.windows_each).tolist()
+    return [raw[at:at + config.window] for at in starts]
+
+
 def fit(texts: list[str], labels: list[str], config: Config = Config()) -> Model | None:
-    """Trains on windows drawn from the texts; every byte of a window has its document's label."""
+    """Trains on windows drawn from the texts."""
+    drawn = [(w, label) for text, label in zip(texts, labels, strict=True) for w in windows(text, config)]
+    return fit_windows([w for w, _ in drawn], [label for _, label in drawn], config)
+
+
+def fit_windows(drawn: list[bytes], labels: list[str], config: Config = Config()) -> Model | None:
+    """Trains on windows; every byte of a window has its document's label."""
     c = config
+    if not drawn:
+        return None
     names = tuple(sorted(set(labels)))
+    number = {name: k for k, name in enumerate(names)}
     rng = np.random.default_rng(c.seed)
-    rows, marks = [], []
-    for text, label in zip(texts, labels, strict=True):
-        raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-        if not LETTER.search(text):
-            continue
-        for _ in range(c.windows_each):
-            at = int(rng.integers(0, max(1, len(raw) - c.window + 1)))
-            piece = raw[at:at + c.window]
-            rows.append(np.pad(piece, (0, c.window - len(piece))))
-            marks.append((names.index(label), len(piece)))
-    if not rows:
-        return None
+    rows = [np.frombuffer(w.ljust(c.window, b"\0"), np.uint8) for w in drawn]
+    marks = [(number[label], len(w)) for w, label in zip(drawn, labels, strict=True)]
     data, marks, hidden = np.stack(rows), np.array(marks), c.hidden
 
     def random(*shape, by):
@@ -234,18 +243,30 @@ class Reader:
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           modulus: int = 5, remainder: int = 0, config: Config = Config()) -> Model | None:
     """Learns from rows with a non-null language outside the fold crc32(id) mod ``modulus`` = ``remainder``."""
-    rows = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"))
+    rows = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
             .filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~common.in_fold(F.col("id"), modulus, remainder)))
-    picked = common.sample_by_class(rows, "id", "lang", config.per_class, config.max_classes).collect()
-    if not picked:
+    bounds = common.class_bounds(rows, "lang", config.per_class)
+    if not bounds:
         return None
-    names = sorted({r[1] for r in picked})
-    chosen = docs.sparkSession.createDataFrame([(int(r[0]), names.index(r[1])) for r in picked], "id long, lang long").dropDuplicates(["id"])
-    # at most per_class * max_classes rows of two numbers: small enough to broadcast, by construction
-    got = (docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-           .join(F.broadcast(chosen), "id").collect())
-    got = sorted((r["id"], r["text"], names[r["lang"]]) for r in got)
-    return fit([r[1] for r in got], [r[2] for r in got], config)
+    # one short row a language
+    limits = docs.sparkSession.createDataFrame([(c, most) for c, _, most in bounds], "lang string, most long")
+    picked = (rows.withColumn("rank", common.sample_rank("id", "lang")).join(F.broadcast(limits), "lang").filter(F.col("rank") < F.col("most"))
+              .select("lang", "rank", "id", "text"))
+
+    def draw(batches):
+        for b in batches:
+            found = [windows(t, config) for t in common.texts_of(b.column(3))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(found, pa.list_(pa.binary()))], names=["lang", "rank", "id", "windows"])
+
+    # the texts stay in their tasks; what comes to the driver is windows_each * window bytes a picked row
+    got = sorted(map(tuple, picked.mapInArrow(draw, "lang string, rank long, id long, windows array<binary>").collect()))
+    taken, drawn, labels = {}, [], []
+    for lang, _, _, found in got:
+        taken[lang] = taken.get(lang, 0) + 1
+        if taken[lang] <= config.per_class:
+            drawn += map(bytes, found)
+            labels += [lang] * len(found)
+    return fit_windows(drawn, labels, config)
 
 
 def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text", config: Config = Config()) -> DataFrame:

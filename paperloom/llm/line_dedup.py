@@ -64,9 +64,14 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     own_id, own_hash, drop = (common.fresh(kept, c) for c in ("dropped_id", "dropped_text", "dropped_lines"))
     gone = gone.toDF(own_id, own_hash, drop)
     joined = kept.join(gone, (kept[id_col] == gone[own_id]) & (F.xxhash64(kept[text_col]) == gone[own_hash]), "left")
-    parts = _lines(F.col(text_col))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(drop))
     none = F.col(drop).isNull()
-    text = F.when(none, F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
-    counted = joined.withColumns({"n_lines": F.size(parts).cast("long"), "n_dropped": F.when(none, 0).otherwise(F.size(drop)).cast("long")})
+
+    def rebuilt(parts: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(drop))
+        return F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
+
+    # the split is bound once: within the lambda of each kept line it would be made anew
+    text = F.when(none, F.col(text_col)).otherwise(common.bind(_lines(F.col(text_col)), rebuilt))
+    breaks = F.char_length(F.coalesce(F.col(text_col), F.lit(""))) - F.char_length(F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("\n"), F.lit("")))
+    counted = joined.withColumns({"n_lines": (breaks + 1).cast("long"), "n_dropped": F.when(none, 0).otherwise(F.size(drop)).cast("long")})
     return counted.withColumn(text_col, text).select(*kept.columns, "n_lines", "n_dropped")

@@ -51,7 +51,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprints.fingerprint_edits(common.table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "contained_edited")
+    return found.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprints.written(F.col("fingerprint")).alias("fingerprint"),
+                        fingerprints.written(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next", "contained_edited")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,14 @@ levels, chosen on a bounded sample, deal nodes to shards; in its shard a task
 builds the lower levels and compares pairs in the leaves.  A shard reports
 links that span its groups, at most one a node, never all pairs of a group.
 
+A radius of 3 bits finds copies that differ in a word or two of a long text.
+Texts of a 5-word similarity of 0.8 differ in 10 bits of 64 on average and in
+up to 18, and at such a radius no vantage point parts random fingerprints: the
+distances from it spread by 4 bits only, so that each side of a split would be
+dealt nearly all nodes.  ``keep_one`` with a similarity therefore takes its
+candidates from the shingles' least hashes and compares them exactly
+(``near_copies``).
+
 Null and empty texts and those of white space alone have fingerprint zero and
 link like any other.  Rows that repeat a doc_id are documents of their own with
 that id.  A null doc_id gets a fingerprint but no component (null).
@@ -29,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from . import common
+from . import common, near_copies
 from .components import components
 
 
@@ -38,10 +46,17 @@ class Config:
     words: int = 3  #: words of a shingle
     radius: int = 3  #: differing bits of a link
     shard: int = 32_768  #: distinct fingerprints that a shard is planned for, before overlaps
-    sample: int = 16_384  #: fingerprints that the upper levels are chosen on, at most
-    deepest: int = 14  #: upper levels, at most
+    sample: int = 16_384  #: fingerprints that the upper levels are chosen on, at least
+    sample_each: int = 64  #: more of them: so many for each shard that is planned
+    sample_most: int = 2_000_000  #: of them at most, which plans for 10^9 fingerprints
+    deepest: int = 24  #: upper levels, at most
     leaf: int = 1024  #: nodes that are compared pair by pair
     tries: int = 6  #: vantage points tried for a split
+    similarity: float | None = None  #: for ``keep_one``: link by Jaccard similarity of shingle sets, at least this, instead of by bits
+
+
+#: Near copies as the pipeline takes them.
+NEAR = Config(words=5, similarity=0.8)
 
 
 WEIGHTS = np.left_shift(np.uint64(1), np.arange(63, -1, -1, dtype=np.uint64))
@@ -87,7 +102,10 @@ def distances(points: np.ndarray, one: np.uint64) -> np.ndarray:
 
 def split(points: np.ndarray, config: Config, rng) -> tuple[np.uint64, int] | None:
     """The vantage point and distance that leave the fewest pairs to compare, None if no split saves a tenth of them."""
-    n, best = len(points), None
+    best = None
+    if len(points) > 4096:
+        points = points[rng.choice(len(points), 4096, replace=False)]
+    n = len(points)
     for one in points[rng.choice(n, min(config.tries, n), replace=False)]:
         counts = np.bincount(distances(points, one), minlength=65)
         near = np.cumsum(counts)
@@ -189,8 +207,7 @@ def groups(points: np.ndarray, config: Config) -> np.ndarray:
         places = open_.pop()
         cut = None
         if len(places) > config.leaf:
-            some = places if len(places) <= 4096 else rng.choice(places, 4096, replace=False)
-            cut = split(points[some], config, rng)
+            cut = split(points[places], config, rng)
         if cut is None:
             if len(places) > 1:
                 _leaf(points, places, union, config.radius)
@@ -204,8 +221,10 @@ def links(nodes: DataFrame, config: Config = Config()) -> DataFrame:
     """(a, b): links that span the groups of ``nodes`` (fp, rep), rep being a fingerprint's number; fp is distinct."""
     spark = nodes.sparkSession
     total = nodes.count()
-    # at most ``sample`` longs, those of the least hash
-    sample = np.array([r[0] for r in nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(config.sample).collect()], np.int64).view(np.uint64)
+    # the sample grows with the shards that are planned, so that the upper levels do; those of the least hash are taken
+    wanted = min(config.sample_most, max(config.sample, config.sample_each * (total // config.shard)))
+    bound = (1 << 62) if total <= wanted else int((1 << 62) * wanted / total)
+    sample = np.sort(np.array([r[0] for r in nodes.select("fp").filter(common.sample_rank("fp") < bound).collect()], np.int64)).view(np.uint64)
     tree = spark.sparkContext.broadcast(upper_levels(sample, total, config))  # of bounded size: at most twice the sample's nodes
 
     def route(batches):
@@ -241,8 +260,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", config: Config = Config()) -> DataFrame:
     """The rows of ``docs`` that have the least id of their group, with the columns of ``docs``.
 
-    Of rows that repeat an id, all are kept or none.  Rows without an id are kept.
+    With ``config.similarity`` set, texts link by the similarity of their shingle
+    sets (see ``near_copies``) instead of by differing bits.  Of rows that repeat an
+    id, all are kept or none, but for equal texts in the first case.  Rows without
+    an id are kept.
     """
+    if config.similarity is not None:
+        return near_copies.keep_one(docs, id_col=id_col, text_col=text_col, config=near_copies.Config(words=config.words, least=config.similarity))
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, config=config)
     gone = found.filter("component <> id").select(F.col("id").alias("_gone")).distinct()
     return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")

@@ -6,13 +6,18 @@ with the least id is the response; others become revisit records, which name it
 and have no body.  A record longer than ``segment`` bytes is cut: the first
 part stays in the response record, with segment number 1, and the others are
 continuation records that name its record id as their origin; the last one
-states the total length.  Rows with a null payload have an empty one; rows with
-a null id are left out; of rows that repeat an id, the greatest payload stands.
-
-Reading: archives are parsed record by record, continuation records are grouped
-by their origin and put in order by segment number, numbers and total length
-are verified, and the HTTP message is decoded from its chunks.  Groups are as
-large as one record was, whatever the size of the archive.
+states the total length.  Record ids are made from the row's id and its payload's
+digest.  Rows with a null payload have an empty one; rows with a null id, and
+rows that repeat an id with the least of equal payloads, are responses.
+
+Reading takes any archive, its own and others: records are parsed one by one,
+continuation records are grouped by their origin and put in order by segment
+number, numbers and total length are verified, and the HTTP message is decoded
+from its chunks.  Groups are as large as one record was, whatever the size of the
+archive; where all segments come several times, so does the record.  Payload
+digests of any algorithm of ``ALGORITHMS``, in hexadecimal or base 32, are
+verified; others are taken as they are.  What is broken becomes a row with a
+``problem``, and reading goes on with the next record.
 
 Archives are files of Spark's text writer: a record is one row that ends in the
 first of its two closing line ends, and the writer adds the second.  So they
@@ -21,6 +26,7 @@ can be written to, and read from, any store that Spark reaches.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -45,11 +51,16 @@ class Config:
     segment: int = 48 * 1024  #: bytes of a record's block, at most
     chunk: int = 8 * 1024  #: bytes of a chunk of the HTTP body
     records_per_file: int = 512  #: so that a reader's task holds records_per_file * segment bytes at most
+    salts: int = 8  #: places that rows of one payload are dealt to
     date: str = "1970-01-01T00:00:00Z"  #: archives of equal rows are equal
 
 
-def record_id(row_id: int, number: int = 1) -> str:
-    return f"<urn:uuid:{uuid.uuid5(SPACE, f'{row_id}/{number}')}>"
+#: Digest algorithms of public archives and the bytes of each.
+ALGORITHMS = {"md5": 16, "sha1": 20, "sha256": 32, "sha512": 64}
+
+
+def record_id(row_id: int | None, digest: str, number: int = 1) -> str:
+    return f"<urn:uuid:{uuid.uuid5(SPACE, f'{row_id}/{digest}/{number}')}>"
 
 
 def chunked(body: bytes, size: int) -> bytes:
@@ -81,90 +92,121 @@ def record(headers: list[tuple[str, object]], block: bytes) -> bytes:
     return VERSION + head.encode() + b"\r\n" + block + b"\r\n"
 
 
-def records(row_id: int, url: str, payload: bytes, first: int | None, config: Config) -> Iterator[bytes]:
-    """The records of one row; ``first`` is the id of the row that it repeats."""
-    digest = f"sha256:{hashlib.sha256(payload).hexdigest()}"
-    base = [("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f]", "", url or "") or f"urn:row:{row_id}"), ("WARC-Date", config.date), ("WARC-Payload-Digest", digest)]
+def records(row_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None, config: Config) -> Iterator[bytes]:
+    """The records of one row; ``digest`` is the payload's SHA-256 in hexadecimal, ``first`` the id of the row that it repeats."""
+    own_id = record_id(row_id, digest)
+    row = [] if row_id is None else [("WARC-Row", row_id)]
+    base = [("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f]", "", url or "") or f"urn:row:{row_id}"), ("WARC-Date", config.date)]
+    told = [("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http; msgtype=response")]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     if first is not None:
-        own = [("WARC-Type", "revisit"), ("WARC-Record-ID", record_id(row_id)), ("WARC-Row", row_id), *base, ("WARC-Refers-To", record_id(first)), ("WARC-Refers-To-Row", first),
-               ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("Content-Type", "application/http; msgtype=response")]
-        yield record(own, http)
+        profile = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(first, digest))]
+        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", own_id), *row, *base, *profile, *told], http)
         return
     block = http + chunked(payload, config.chunk)
     pieces = [block[i:i + config.segment] for i in range(0, len(block), config.segment)]
     for n, piece in enumerate(pieces, 1):
-        own = [("WARC-Type", "response" if n == 1 else "continuation"), ("WARC-Record-ID", record_id(row_id, n))]
-        own += [("WARC-Row", row_id), *base, ("Content-Type", "application/http; msgtype=response")] if n == 1 else [("WARC-Target-URI", base[0][1]), ("WARC-Date", config.date)]
+        if n == 1:
+            own = [("WARC-Type", "response"), ("WARC-Record-ID", own_id), *row, *base, *told]
+        else:
+            own = [("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(row_id, digest, n)), *base, ("WARC-Segment-Origin-ID", own_id)]
         if len(pieces) > 1:
             own += [("WARC-Segment-Number", n)]
-            own += [("WARC-Segment-Origin-ID", record_id(row_id))] if n > 1 else []
             own += [("WARC-Segment-Total-Length", len(block))] if n == len(pieces) else []
         yield record(own, piece)
 
 
-def firsts(pages: DataFrame, least: int) -> DataFrame:
-    """(row_id, first) of rows of ``pages`` (row_id, payload) that repeat a payload of a lesser row_id."""
-    keyed = (pages.filter(F.octet_length("payload") >= least)
-             .select("row_id", F.unhex(F.sha2("payload", 256)).alias("digest")))
-    often = keyed.groupBy("digest").agg(F.min("row_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    return common.salted_join(keyed, often, ["digest"], ["row_id"]).filter("row_id <> first").select("row_id", "first")
-
-
 def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", config: Config = Config()) -> None:
     """Writes one record a row, and continuation records, to gzipped archives in ``path``."""
     common.small_batches(pages.sparkSession)
-    rows = (pages.select(F.col(id_col).cast("long").alias("row_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
-            .filter("row_id is not null"))
-    rows = rows.groupBy("row_id").agg(F.max(F.struct("payload", "url")).alias("p")).select("row_id", "p.url", "p.payload") if _repeats(rows) else rows
-    again = firsts(rows, config.least).withColumnRenamed("row_id", "again_id")
-    joined = rows.join(again, rows.row_id == again.again_id, "left").select("row_id", "url", "payload", "first")
+    rows = pages.select(F.col(id_col).cast("long").alias("row_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
+    rows = rows.withColumn("digest", F.sha2("payload", 256))
+    often = (rows.filter(F.octet_length("payload") >= config.least).groupBy("digest")
+             .agg(F.min("row_id").alias("first"), F.max("row_id").alias("last")).filter("first <> last").select("digest", "first"))
+    # rows of a frequent payload are dealt to several places, and its first row's id is sent to each
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(config.salts)).cast("int"))
+    copies = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(config.salts - 1))))
+    joined = salted.join(copies, ["digest", "salt"], "left").select("row_id", "url", "payload", "digest", F.when(F.col("row_id") != F.col("first"), F.col("first")).alias("first"))
 
     def run(batches):
         for b in batches:
-            rows = zip(*(c.to_pylist() for c in b.columns), strict=True)
-            found = [r for i, url, payload, first in rows for r in records(i, url, payload, first, config)]
+            found = [r for row in zip(*(c.to_pylist() for c in b.columns), strict=True) for r in records(*row, config)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["record"])
 
     (joined.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
      .write.mode("overwrite").option("lineSep", "\r\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", config.records_per_file).text(path))
 
 
-def _repeats(rows: DataFrame) -> bool:
-    return rows.select("row_id").groupBy("row_id").count().filter("count > 1").limit(1).count() > 0
-
-
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with lower-case names, block) of the records in an uncompressed archive; ValueError if one is cut short."""
+def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """(headers with lower-case names, block, problem) of the records in an uncompressed archive."""
     at = 0
     while at < len(data):
-        if not data.startswith(b"WARC/1.", at):
-            raise ValueError(f"no record at byte {at}")
-        start = data.find(b"\r\n", at) + 2
-        end = data.find(END, start)
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[start:end].decode("utf-8", "replace").split("\r\n"))}
-        size = int(headers["content-length"])
-        block = data[end + 4:end + 4 + size]
-        if len(block) < size or data[end + 4 + size:end + 8 + size] != END:
-            raise ValueError(f"record at byte {at} is cut short")
-        yield headers, block
-        at = end + 8 + size
-
-
-def inflated(data: bytes) -> bytes:
-    """The bytes of an archive, gzipped as a whole, by record, or not at all."""
+        if not data.startswith(b"WARC/", at):
+            # what is no record, up to where one may start
+            then = data.find(b"\nWARC/", at) + 1 or len(data)
+            if data[at:then].strip(b"\r\n"):
+                yield {}, data[at:then], "no record"
+            at = then
+            continue
+        start = data.find(b"\n", at) + 1
+        gap = re.compile(rb"\r?\n\r?\n").search(data, start - 1) if start else None
+        if gap is None:
+            yield {}, data[at:], "cut short"
+            return
+        lines = re.sub(r"\r?\n[ \t]+", " ", data[start:gap.start()].decode("utf-8", "replace"))  # a folded line goes on
+        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in re.split(r"\r?\n", lines) if x)}
+        size = headers.get("content-length", "")
+        if not re.fullmatch(r"[0-9]+", size):
+            then = data.find(b"\nWARC/", gap.end() - 1) + 1 or len(data)
+            yield headers, data[gap.end():then], "no length"
+            at = then
+            continue
+        block = data[gap.end():gap.end() + int(size)]
+        if len(block) < int(size):
+            yield headers, block, "cut short"
+            return
+        yield headers, block, None
+        at = gap.end() + int(size)
+        while data[at:at + 1] in (b"\r", b"\n") and at < len(data):
+            at += 1
+
+
+def inflated(data: bytes) -> tuple[bytes, bool]:
+    """The bytes of an archive, gzipped as a whole, by record, or not at all, and whether all of them could be read."""
     if data[:2] != b"\x1f\x8b":
-        return data
+        return data, True
     out = []
-    while data:
+    while data[:2] == b"\x1f\x8b":
         d = zlib.decompressobj(31)
-        out.append(d.decompress(data))
+        try:
+            out.append(d.decompress(data))
+        except zlib.error:
+            return b"".join(out), False
+        if not d.eof:
+            return b"".join(out), False
         data = d.unused_data
-    return b"".join(out)
+    return b"".join(out), True
 
 
-SEGMENT = "row_id long, record_id string, origin string, number int, total long, type string, url string, digest string, refers_to long, block binary"
-FOUND = "row_id long, url string, type string, refers_to long, digest string, payload binary, payload_bytes long, problem string"
+def agrees(payload: bytes, digest: str) -> bool | None:
+    """Whether a payload has a digest, ``algorithm:value``; None where that cannot be told."""
+    name, _, value = digest.partition(":")
+    size = ALGORITHMS.get(name.lower().replace("-", ""))
+    if size is None or not value:
+        return None
+    own = hashlib.new(name.lower().replace("-", ""), payload).digest()
+    return value.lower() == own.hex() or value.upper().rstrip("=") == base64.b32encode(own).decode().rstrip("=")
+
+
+def body(message: bytes) -> bytes:
+    """The payload of an HTTP message."""
+    head, _, rest = message.partition(END)
+    return unchunked(rest) if re.search(rb"(?im)^transfer-encoding:.*\bchunked\b", head) else rest
+
+
+PART = ("record_id string, origin string, number int, total long, block binary, row_id long, url string, type string, refers_to_id string, "
+        "digest string, payload binary, payload_bytes long, problem string")
+FOUND = "record_id string, row_id long, url string, type string, refers_to_id string, digest string, payload binary, payload_bytes long, problem string"
 KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
 
 
@@ -174,14 +216,6 @@ def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, KINDS[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def _records(content: bytes) -> Iterator[tuple]:
-    """The rows of SEGMENT that an archive holds."""
-    for h, block in parse(inflated(content)):
-        own = lambda k, h=h: int(h[k]) if k in h else None
-        yield (own("warc-row"), h.get("warc-record-id"), h.get("warc-segment-origin-id", h.get("warc-record-id")), own("warc-segment-number"), own("warc-segment-total-length"),
-               h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-payload-digest", "").removeprefix("sha256:"), own("warc-refers-to-row"), block)
-
-
 def _in_batches(rows: Iterable[tuple], schema: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Batches of about ``most`` bytes of binaries."""
     held, size = [], 0
@@ -195,79 +229,119 @@ def _in_batches(rows: Iterable[tuple], schema: str, most: int = 4_000_000) -> It
         yield _batch(schema, held)
 
 
-def read_segments(spark: SparkSession, path: str, cut_only: bool = False) -> DataFrame:
-    """The records of the archives in ``path``, one row each, whatever their type; ``cut_only``: those with a segment number."""
+def _whole_number(text: str | None, bits: int) -> int | None:
+    return int(text) if text and re.fullmatch(r"-?[0-9]{1,18}", text) and abs(int(text)) < 1 << bits else None
+
+
+def _digest(h: dict[str, str]) -> str | None:
+    """SHA-256 in hexadecimal bare, others with their algorithm."""
+    value = h.get("warc-payload-digest")
+    bare = (value or "").removeprefix("sha256:")
+    return bare.lower() if re.fullmatch("[0-9a-fA-F]{64}", bare) else value
+
+
+def decoded(kind: str | None, http: bool, digest: str | None, message: bytes, keep: bool) -> tuple[bytes | None, int | None, str | None]:
+    """(payload, its bytes, problem) of a whole record."""
+    if kind == "revisit":
+        return None, None, None
+    try:
+        payload = body(message) if http else message
+    except ValueError as e:
+        return None, None, str(e)
+    if digest and agrees(payload, digest if ":" in digest else f"sha256:{digest}") is False:
+        return None, None, "another digest"
+    return payload if keep else None, len(payload), None
+
+
+def _parts(content: bytes, keep: bool) -> Iterator[tuple]:
+    """The rows of PART that an archive holds: whole records decoded, segments with their blocks."""
+    data, all_read = inflated(content)
+    for h, block, problem in parse(data):
+        number, kind, digest = _whole_number(h.get("warc-segment-number"), 31), h.get("warc-type"), _digest(h)
+        name = h.get("warc-record-id")
+        head = (_whole_number(h.get("warc-row"), 63), h.get("warc-target-uri"), kind, h.get("warc-refers-to"), digest)
+        if problem is None and number is not None:
+            origin = h.get("warc-segment-origin-id", name)
+            yield name, origin, number, _whole_number(h.get("warc-segment-total-length"), 63), block, *head, None, None, None
+            continue
+        if problem is None and kind == "continuation":
+            problem = "no segment number"
+        found = (None, None, problem) if problem else decoded(kind, h.get("content-type", "").startswith("application/http"), digest, block, keep)
+        yield name, None, None, None, None, *head, *found
+    if not all_read:
+        yield *[None] * 12, "archive cut short"
+
+
+def read_parts(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """The records of the archives in ``path``: whole ones decoded, segments of cut ones (``number`` is not null) with their blocks."""
     common.small_batches(spark)
 
     def run(batches: Iterable[pa.RecordBatch]):
         for b in batches:
             for content in b.column(0).to_pylist():
-                yield from _in_batches((r for r in _records(content) if not cut_only or r[3] is not None), SEGMENT)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, SEGMENT)
-
-
-def decoded(row_id, url, kind, refers_to, digest, message: bytes, numbers: list[int], total, keep: bool) -> tuple:
-    """The row of FOUND that a record makes, from its parts put together."""
-    problem = payload = None
-    if kind in (None, "continuation"):
+                yield from _in_batches(_parts(content, payload), PART)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, PART)
+
+
+def reassembled(segments: list[dict], total: int | None, head: dict | None, keep: bool) -> list[tuple]:
+    """The rows of FOUND that the segments of one origin make; ``segments`` are in order."""
+    h = head or {}
+    kind, digest = h.get("type"), h.get("digest")
+    numbers = [s["number"] for s in segments]
+    times = numbers.count(1)
+    # where every segment comes several times, and is the same, so does the record
+    alike = times > 1 and all(segments[i] == segments[i - i % times] for i in range(len(segments)))
+    once = segments[::times] if alike else segments
+    message = b"".join(s["block"] for s in once)
+    found, problem = (None, None, None), None
+    if not head:
         problem = "no origin"
-    elif numbers != list(range(1, len(numbers) + 1)):
+    elif [s["number"] for s in once] != list(range(1, len(once) + 1)):
         problem = "segments missing or repeated"
-    elif len(numbers) > 1 and total != len(message):
+    elif total != len(message):
         problem = "another total length"
-    elif kind == "response":
-        try:
-            payload = body(message)
-            if hashlib.sha256(payload).hexdigest() != digest:
-                payload, problem = None, "another digest"
-        except ValueError as e:
-            problem = str(e)
-    return row_id, url, kind, refers_to, digest, payload if keep else None, None if payload is None else len(payload), problem
-
-
-def body(message: bytes) -> bytes:
-    """The payload of an HTTP message."""
-    head, _, rest = message.partition(END)
-    return unchunked(rest) if re.search(rb"(?im)^transfer-encoding:.*\bchunked\b", head) else rest
+    else:
+        found = decoded(kind, h["http"], digest, message, keep)
+    row = h.get("record_id"), h.get("row_id"), h.get("url"), kind, h.get("refers_to_id"), digest, *(found[:2] if problem is None else (None, None)), problem or found[2]
+    return [row] * (times if alike else 1)
 
 
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """(row_id, url, type, refers_to, digest, payload, payload_bytes, problem): one row a record that is no continuation.
+    """The columns of FOUND: one row a record that is no continuation, or a stretch of an archive that is none.
 
     ``problem`` says what is wrong with a record: a segment that is missing or
-    comes twice, a total length or digest that does not hold, or broken framing;
-    the payload is null then.  A revisit's payload and its length are null too; see
-    ``resolve``.  Without ``payload`` records are verified all the same.
+    comes twice, a total length or digest that does not hold, broken framing, a
+    length that is not there, or an end that is; the payload is null then.  A
+    revisit's payload and its length are null too; see ``resolve``.  ``row_id`` is
+    null in archives that ``write`` did not make.
 
     A record without a segment number is whole and decoded where it is read.
-    Only cut ones are grouped, by their origin.
+    Only cut ones are grouped, by their origin.  Without ``payload`` records are
+    verified all the same, and what was read is kept by a checkpoint, as it is
+    narrow, so that archives are read once; with it they are read twice.
     """
-    common.small_batches(spark)
-
-    def whole(batches):
-        for b in batches:
-            for content in b.column(0).to_pylist():
-                yield from _in_batches((decoded(r[0], r[6], r[5], r[8], r[7], r[9], [1], None, payload) for r in _records(content) if r[3] is None), FOUND)
+    parts = read_parts(spark, path, payload)
+    if not payload:
+        parts = common.cut(parts)
 
     def together(batches):
         for b in batches:
-            rows = []
-            for segments, total, head in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                h = head or {}
-                rows.append(decoded(h.get("row_id"), h.get("url"), h.get("type"), h.get("refers_to"), h.get("digest"), b"".join(s["block"] for s in segments), [s["number"] for s in segments], total, payload))
-            yield _batch(FOUND, rows)
-
-    uncut = spark.read.format("binaryFile").load(path).select("content").mapInArrow(whole, FOUND)
-    cut = (read_segments(spark, path, cut_only=True).groupBy("origin")
+            rows = zip(*(c.to_pylist() for c in b.columns), strict=True)
+            yield _batch(FOUND, [r for row in rows for r in reassembled(*row, payload)])
+
+    names = [x.split()[0] for x in FOUND.split(", ")]
+    first = F.struct("record_id", "row_id", "url", "type", "refers_to_id", "digest", F.lit(True).alias("http"))
+    cut = (parts.filter("number is not null").groupBy("origin")
            .agg(F.sort_array(F.collect_list(F.struct("number", "block"))).alias("segments"), F.max("total").alias("total"),
-                F.first(F.when(F.col("type") != "continuation", F.struct("row_id", "url", "type", "refers_to", "digest")), True).alias("head"))
+                F.first(F.when(F.col("type") != "continuation", first), True).alias("head"))
            .select("segments", "total", "head").mapInArrow(together, FOUND))
-    return uncut.unionByName(cut)
+    return parts.filter("number is null").select(*names).unionByName(cut)
 
 
 def resolve(found: DataFrame) -> DataFrame:
-    """``found`` with the ``payload_bytes`` of revisits taken from the records that they refer to."""
-    sizes = found.filter("type = 'response'").select(F.col("row_id").alias("at"), F.col("payload_bytes").alias("there"))
-    return (found.join(sizes, found.refers_to == sizes["at"], "left")
+    """``found`` with ``refers_to``, the row of the record that a revisit names, and the ``payload_bytes`` of revisits taken from it."""
+    there = (found.filter("type = 'response' and record_id is not null").groupBy("record_id")
+             .agg(F.min("row_id").alias("refers_to"), F.max("payload_bytes").alias("there")).withColumnRenamed("record_id", "at"))
+    return (found.join(there, found.refers_to_id == there["at"], "left")
             .withColumn("payload_bytes", F.coalesce("payload_bytes", "there")).drop("at", "there"))

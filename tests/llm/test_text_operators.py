@@ -120,16 +120,28 @@ def test_next_document_over_many_ranges(spark):
     assert fingerprints.with_next(ids.limit(0), "id", "size").count() == 0
 
 
-def plain_substring_dedup(rows, config):
-    places = {}
+def plain_substring_dedup(rows, least=15):
+    """By definition, from the text alone: runs are tuples of sentences' words, compared one by one."""
+    docs = {}
     for i, t in rows:
-        for at, size, digest in substring_dedup.runs(t or "", config):
-            places.setdefault(digest, []).append((i, at, size))
-    gone = {}
+        pieces = [x for x in re.split(r"((?<=[.!?])\s+|\s*\n\s*)", t or "")]
+        docs[i] = [(p.split(), p, pieces[k + 1] if k + 1 < len(pieces) else "") for k, p in enumerate(pieces) if k % 2 == 0 and p.strip()]
+    places = {}
+    for i, parts in docs.items():
+        n = len(parts)
+        size = lambda a, b: sum(len(parts[k][0]) for k in range(a, b))
+        spans = set()
+        for k in range(n):
+            spans.add((k, next((e for e in range(k + 1, n + 1) if size(k, e) >= least), None)))
+            spans.add((next((f for f in range(k, -1, -1) if size(f, k + 1) >= least), None), k + 1))
+        for f, e in spans:
+            if f is not None and e is not None:
+                places.setdefault(tuple(tuple(parts[k][0]) for k in range(f, e)), []).append((i, f, e))
+    gone = {i: set() for i in docs}
     for where in places.values():
-        for i, at, size in sorted(where)[1:]:
-            gone.setdefault(i, set()).update(range(at, at + size))
-    return {i: substring_dedup.without(t or "", gone.get(i, set())) for i, t in rows}
+        for i, f, e in sorted(where)[1:]:
+            gone[i].update(range(f, e))
+    return {i: "".join(p + g for k, (_, p, g) in enumerate(parts) if k not in gone[i]) for i, parts in docs.items()}
 
 
 def test_substring_dedup(spark):
@@ -143,9 +155,8 @@ def test_substring_dedup(spark):
             parts += passages[k % 2] + [sentence() for _ in range(3)]
         rows.append((k, rng.choice([" ", "\n"]).join(parts)))
     rows += [(100, None), (101, ""), (102, rows[0][1] + " " + rows[0][1])]
-    config = substring_dedup.Config()
     got = {r.doc_id: r.text for r in substring_dedup.dedup_substrings(frame(spark, rows)).collect()}
-    want = plain_substring_dedup(rows, config)
+    want = plain_substring_dedup(rows)
     assert {i: t or "" for i, t in got.items()} == want
     assert got[100] is None and sum(passages[0][3] in (t or "") for t in got.values()) == 1
     assert substring_dedup.dedup_substrings(frame(spark, [])).count() == 0
@@ -168,6 +179,107 @@ def test_substring_dedup_finds_short_whole_sentences_of_a_passage(spark):
     assert got[0].text == rows[0][1] and got[1].n_sentences_dropped == 2 and "p1x0" not in got[1].text and "p0x5" in got[1].text
 
 
+def test_substring_dedup_takes_a_passage_to_its_last_sentence(spark):
+    for sizes in ((35, 2, 1, 13, 9, 1), (25, 3, 4, 2), (9, 9, 9)):
+        passage = " ".join(numbered("q", *sizes))
+        rows = [(k, f"Of document {k} alone.\n{passage}\nEnd number {k}.") for k in range(3)]
+        got = {r.doc_id: r for r in substring_dedup.dedup_substrings(frame(spark, rows)).collect()}
+        assert got[0].text == rows[0][1] and all(got[k].n_sentences_dropped == len(sizes) and "q" not in got[k].text for k in (1, 2))
+
+
+def test_long_texts_take_linear_time(spark):
+    import time
+
+    def took(f):
+        began = time.process_time()
+        f()
+        return time.process_time() - began
+
+    assert took(lambda: substring_dedup.sentences("a." + " " * 100_000 + "b" + "\n" * 100_000 + " c")) < 1
+    assert took(lambda: decontaminate.token_hash("a" + "=" * 100_000 + "b" + "_" * 100_000)) < 1
+    text = "\n".join(f"line number {k % 5000} of a text" for k in range(100_000))
+    began = time.time()
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(frame(spark, [(1, text), (2, text + "\nlast")])).collect()}
+    assert time.time() - began < 20
+    assert got[1].text == text and got[2].text == "last" and got[2].n_lines == 100_001 and got[2].n_dropped == 100_000
+
+
+def test_sketches_of_short_texts_are_not_empty(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("completely different words here",), ("one",), ("other",), ("",), ("ONE",)]
+    df = spark.createDataFrame(rows, "text string")
+    c = fingerprints.Config(one_in=1 << 20)
+    got = [r[0] for r in df.select(fingerprints.sketch(F.col("text"), c)).collect()]
+    assert [len(x) for x in got] == [1, 1, 1, 0, 1] and got[1] == got[4] != got[2]
+    names = [r[0] for r in df.select(fingerprints.written(fingerprints.sketch(F.col("text"), c))).collect()]
+    assert all(re.fullmatch("([0-9a-f]{16})*", x) for x in names) and names[3] == "" and len(set(names)) == 4
+    both = df.select(fingerprints.merge(F.array(F.lit(5), F.lit(-9)), F.array(F.lit(3)), fingerprints.Config(one_in=2))).first()[0]
+    assert both == [-9]
+    near = [(1, "completely different words here"), (2, ""), (3, "a b")]
+    found = {r.doc_id: r for r in fingerprints.fingerprint_edits(frame(spark, near)).collect()}
+    assert [found[k].near_next for k in (1, 2, 3)] == [0.0, 0.0, 0.0]
+
+
+def test_contract_columns(spark):
+    """Names and types that the contracts state."""
+    from paperloom.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    want = {"op3_language_id": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
+            "op5_line_dedup": {"doc_id": "bigint", "n_lines": "bigint", "n_dropped": "bigint", "kept_sha256": "string"},
+            "op6_fingerprints": {"doc_id": "bigint", "n_chars": "bigint", "edited_sha256": "string", "fingerprint": "string", "edited_fingerprint": "string", "near_edited": "double", "near_next": "double"},
+            "op7_quality": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+            "op8_simhash": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
+            "op9_warc": {"page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string", "refers_to": "bigint"},
+            "op10_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"}}
+    for name, columns in want.items():
+        assert columns.items() <= dict(queries.queries()[name](spark, folder).dtypes).items(), name
+
+
+def plain_matches(text, item, share=0.8, overlap=13, miss=3.0):
+    """Whether any way of laying the item along the text gives a match, by trying all."""
+    strip = lambda w: re.sub(r"^[\W_]+|[\W_]+$", "", w)
+    a, b = ([x for x in map(strip, s.lower().split()) if x] for s in (text, item))
+    for offset in range(-len(b) + 1, len(a)):
+        first, last = max(0, -offset), min(len(b), len(a) - offset)
+        equal = [b[k] == a[offset + k] for k in range(first, last)]
+        if equal and sum(equal) >= share * len(b):
+            return True
+        best = (0.0, 0, 0)
+        for i in range(len(equal)):
+            worth = 0.0
+            for j in range(i, len(equal)):
+                worth += 1.0 if equal[j] else -miss
+                best = max(best, (worth, i, j + 1))
+        run = equal[best[1]:best[2]]
+        if run and len(run) >= (overlap if len(b) >= overlap else share * len(b)) and sum(run) >= share * len(run):
+            return True
+    return False
+
+
+def test_decontamination_against_all_placements(spark):
+    """Items of 1 to 24 tokens with substitutions anywhere; up to two (one under ten tokens) must all be found, and nothing else is."""
+    rng = random.Random(19)
+    words = ["tok%d" % k for k in range(400)]
+    items = [(k, " ".join(rng.choices(words, k=k % 24 + 1))) for k in range(72)]
+    rows, must = [], set()
+    for k in range(400):
+        item, text = rng.randrange(72), rng.choices(words, k=rng.randint(0, 60))
+        piece = items[item][1].split()
+        n = rng.choice([0, 0, 1, 2, 3])
+        for p in rng.sample(range(len(piece)), min(n, len(piece))):
+            piece[p] = "other"
+        if len(piece) > 5 and n <= (1 if len(piece) < 10 else 2) or n == 0:
+            must.add((k, item))
+        at = rng.randint(0, len(text))
+        text[at:at] = piece
+        rows.append((k, " ".join(text)))
+    found = {(r.id, r.item_id) for r in decontaminate.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    true = {(i, j) for i, t in rows for j, x in items if plain_matches(t, x)}
+    assert found <= true and must <= found | {m for m in must if m not in true} and len(true - found) <= 0.02 * len(true)
+
+
 def test_decontamination_tolerates_substitutions(spark):
     rng = random.Random(9)
     words = ["tok%d" % k for k in range(3000)]
@@ -190,7 +302,8 @@ def test_decontamination_tolerates_substitutions(spark):
     docs = frame(spark, rows)
     got = {(r.id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
     assert got == want
-    small = decontaminate.Config(block_chars=600)
+    small = decontaminate.Config(block_chars=600)  # more than a block: by joins
+    assert sorted(map(tuple, decontaminate.contaminated(docs, bench, config=small).collect())) == sorted(map(tuple, decontaminate.contaminated(docs, bench).collect()))
     assert {(r.id, r.item_id) for r in decontaminate.contaminated(docs, bench, config=small).collect()} == want
     kept = decontaminate.clean(docs, bench, config=small)
     assert kept.columns == docs.columns
