@@ -43,8 +43,10 @@ def _lines(text: Column) -> Column:
 def repeated_lines(docs: DataFrame, id_col: str, text_col: str, least_chars: int, min_docs: int) -> DataFrame:
     """(id, text_hash, drop): of each row that loses lines, their positions, from 0."""
     keys = F.transform(_lines(F.col(text_col)), key)
-    found = (docs.filter(F.col(id_col).isNotNull())
-             .select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.posexplode(keys).alias("pos", "key"))
+    # the hash is taken below the explosion: above it, it would be taken of the whole text for every line
+    rows = (docs.filter(F.col(id_col).isNotNull())
+            .select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), keys.alias("keys")))
+    found = (rows.select("id", "text_hash", F.posexplode("keys").alias("pos", "key"))
              .filter(F.char_length("key") >= least_chars)
              .select("id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), F.col("key")).alias("h2")))
     if min_docs == 2:
