@@ -266,7 +266,9 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
         if taken[lang] <= config.per_class:
             drawn += map(bytes, found)
             labels += [lang] * len(found)
-    return fit_windows(drawn, labels, config)
+    model = fit_windows(drawn, labels, config)
+    common.give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text", config: Config = Config()) -> DataFrame:

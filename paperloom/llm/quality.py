@@ -197,7 +197,9 @@ def fit(texts: list[str], labels: np.ndarray, frequency: dict, config: Config =
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
           modulus: int = 3, remainder: int = 1, config: Config = Config()) -> Model:
     """Learns from labelled rows outside the fold crc32(id) mod ``modulus`` = ``remainder``."""
-    return fit(*common.labelled_texts(docs, labels, label_col, id_col, text_col, modulus, remainder, config.per_class), config)
+    model = fit(*common.labelled_texts(docs, labels, label_col, id_col, text_col, modulus, remainder, config.per_class), config)
+    common.give_back()
+    return model
 
 
 def scores(model: Model, pool: Pooler, texts: list[str]) -> np.ndarray:

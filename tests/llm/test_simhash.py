@@ -63,13 +63,20 @@ def test_shards_keep_every_link_together():
             assert any(i in s and j in s for s in shards)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 1_000_000])
+def test_components(spark, one_task):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + k, 1001 + k) for k in range(40)] + [(5000, 6000 + k) for k in range(50)] + [(7, 7), (None, 3)]
     nodes = {n for e in edges if None not in e and e[0] != e[1] for n in e}
-    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "x long, y long"), "x", "y").collect()}
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "x long, y long"), "x", "y", one_task=one_task).collect()}
     assert got == plain_components([e for e in edges if None not in e and e[0] != e[1]], nodes)
-    assert components.components(spark.createDataFrame([], "x long, y long"), "x", "y").count() == 0
+    assert components.components(spark.createDataFrame([], "x long, y long"), "x", "y", one_task=one_task).count() == 0
+
+
+def test_long_chains_settle_in_few_steps():
+    order = np.random.default_rng(1).permutation(200_000)
+    nodes, roots = components.least_reachable(order[:-1], order[1:])
+    assert len(nodes) == 200_000 and not roots.any()
 
 
 def test_near_duplicates(spark):
