@@ -191,3 +191,9 @@ def amount_field(text: Column) -> Column:
     low = F.lower(text)
     return (F.when(contains_any(low, ("sub", "sous-total", "sous total")), "subtotal").when(contains_any(low, ("tax", "vat", "tva")), "tax")
             .when(contains_any(low, ("total", "montant", "amount due")), "total").otherwise("amount"))
+
+
+def stem(path: Column) -> Column:
+    """A path's last name without its last extension; a leading dot is part of the name."""
+    name = F.regexp_extract(path, r"([^/\\]*)[/\\]*$", 1)
+    return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")

@@ -72,8 +72,13 @@ def override(docs: DataFrame, types: DataFrame, tables: Column) -> DataFrame:
     return both.select("doc_id", F.when((first == "unknown") & F.rlike("low", F.lit(P.CV_OVERRIDE)), "cv").otherwise(first).alias("doc_type"))
 
 
+def letters(text: Column, kind: str) -> Column:
+    """How many letters of a class a text has: what its length loses without them, as counting matches would make a string of each."""
+    return F.char_length(text) - F.char_length(F.regexp_replace(text, kind, ""))
+
+
 def script_counts(text: Column) -> dict[str, Column]:
-    return {"latin": F.regexp_count(text, F.lit(P.LATIN)), "arabic": F.regexp_count(text, F.lit(P.ARABIC)), "cjk": F.regexp_count(text, F.lit(P.CJK))}
+    return {"latin": letters(text, P.LATIN), "arabic": letters(text, P.ARABIC), "cjk": letters(text, P.CJK)}
 
 
 def script_shares(docs: DataFrame) -> DataFrame:

@@ -71,7 +71,8 @@ def cv_data(text: Column) -> Column:
         skills = F.array_distinct(F.transform(D.section_list(ss, ("skills", "compétences", "competences")), lambda x: F.lower(x)))
         return F.struct(
             F.struct(D.candidate_name(ls).alias("name"), D.contact(ls).alias("contact"), D.section_list(ss, ("hobbies", "centres d'intérêt", "interests")).alias("hobbies")).alias("personal_info"),
-            F.struct(education(ss).alias("formation")).alias("education"), work(ss).alias("work_experience"), skills.alias("skills"), languages(ss).alias("languages"),
+            F.struct(education(ss).alias("formation")).alias("education"), work(ss).alias("work_experience"),
+            F.map_from_entries(F.transform(skills, lambda x: F.struct(x, F.lit(True)))).alias("skills"), languages(ss).alias("languages"),
             certifications(ss).alias("certifications"), projects(ss).alias("projects"))
 
     return X.bind(X.nonempty_lines(text), lambda ls: X.bind(D.labelled_sections(ls, headings=True), lambda ss: of(ls, ss)))
@@ -98,11 +99,21 @@ def invoice_data(text: Column) -> Column:
     return X.bind(X.nonempty_lines(text), lambda ls: X.bind(F.struct(D.last_wins(D.pairs(ls)).alias("kv"), table_items(pipe_table(ls)).alias("items")), lambda b: of(ls, b["kv"], b["items"])))
 
 
+def sections_by_name(rows: Column) -> Column:
+    """A map from each section, in order of its first line, to its lines."""
+    def of(rs: Column) -> Column:
+        names = F.array_distinct(F.transform(rs, lambda r: r["section"]))
+        return F.map_from_arrays(names, F.transform(names, lambda n: F.transform(F.filter(rs, lambda r: r["section"] == n), lambda r: r["line"])))
+
+    return X.bind(rows, of)
+
+
 def generic_data(text: Column) -> Column:
     """Title, contacts, dates, amounts, pairs and sections of any document."""
     return X.bind(X.nonempty_lines(text), lambda ls: F.struct(
         F.try_element_at(ls, F.lit(1)).alias("title"), D.contact(ls).alias("contacts"), X.unique(F.flatten(F.transform(ls, lambda x: X.all_matches(P.DATE, x)))).alias("dates"),
-        X.unique(F.flatten(F.transform(ls, lambda x: X.all_matches(P.MONEY, x)))).alias("amounts"), D.last_wins(D.pairs(ls)).alias("key_values"), D.labelled_sections(ls).alias("sections")))
+        X.unique(F.flatten(F.transform(ls, lambda x: X.all_matches(P.MONEY, x)))).alias("amounts"), F.map_from_entries(F.transform(D.last_wins(D.pairs(ls)), lambda p: F.struct(p["key"], p["value"]))).alias("key_values"),
+        sections_by_name(D.labelled_sections(ls)).alias("sections"), F.filter(F.array(pipe_table(ls)), lambda t: F.size(t) > 0).alias("tables")))
 
 
 def cv(docs: DataFrame) -> DataFrame:

@@ -102,7 +102,10 @@ def rate_limited(events: DataFrame, *, limit: int = 60, seconds: int = 60) -> Da
 
 
 def lockouts(events: DataFrame, *, failures: int = 5, minutes: int = 15) -> DataFrame:
-    """(key, event_id, state) of sign-ins (key, event_id, ok, ts): refused while locked, else ok or failed; the last failure of a row locks."""
+    """(key, event_id, state) of sign-ins (key, event_id, ok, ts): refused while locked, else ok or failed; the last failure of a row locks.
+
+    Only a success resets the count, so after a lock the next failure locks again.
+   """
     def step(state: list, t: int, event: int, ok: bool) -> tuple:
         if t < state[1]:
             return event, "refused"
@@ -111,7 +114,7 @@ def lockouts(events: DataFrame, *, failures: int = 5, minutes: int = 15) -> Data
             return event, "ok"
         state[0] += 1
         if state[0] >= failures:
-            state[0], state[1] = 0, t + minutes * 60_000_000
+            state[1] = t + minutes * 60_000_000
             return event, "locked"
         return event, "failed"
 

@@ -292,6 +292,51 @@ def layout_label(regions: DataFrame, *, span: float = 450.0, least: int = 4) ->
     return g.select("doc_id", F.when(F.col("tables") > 0, "table-based").when((F.col("n") >= least) & (F.col("span") > span), "two-column").otherwise("single-column").alias("layout"))
 
 
+def sidebar_label(regions: DataFrame, *, span: float = 420.0, least: int = 4) -> DataFrame:
+    """(doc_id, layout): sidebar-main with a region in that role, two-column where centres lie far apart, else single-column."""
+    cx = (F.col("x1") + F.col("x2")) / 2
+    g = regions.groupBy("doc_id").agg(F.bool_or(F.coalesce(F.col("column_role") == "sidebar", F.lit(False))).alias("side"), (F.max(cx) - F.min(cx)).alias("span"), F.count(cx).alias("n"))
+    return g.select("doc_id", F.when(F.col("side"), "sidebar-main").when((F.col("n") >= least) & (F.col("span") > span), "two-column").otherwise("single-column").alias("layout"))
+
+
+def looks_like_cells(boxes: Column) -> Column:
+    """Whether an array of boxes (x1, x2) holds two or more, and those with a width are under 400 wide on average."""
+    widths = F.filter(F.transform(boxes, lambda b: b["x2"] - b["x1"]), lambda w: w > 0)
+    mean = F.aggregate(widths, F.lit(0.0), lambda a, w: a + w) / F.size(widths)
+    return F.coalesce((F.size(boxes) >= 2) & (F.size(widths) > 0) & (mean < 400), F.lit(False))
+
+
+def table_kind(lines: DataFrame) -> DataFrame:
+    """(doc_id, page, kind): how a page's table lines are read: ``grid`` by their boxes where they look like cells, else ``spacing``; ``empty`` without text."""
+    g = lines.groupBy(*PAGE).agg(F.collect_list(F.struct("x1", "x2")).alias("boxes"), F.count_if(F.trim("text") != "").alias("n"))
+    return g.select(*PAGE, F.when(F.col("n") == 0, "empty").when(looks_like_cells(F.col("boxes")), "grid").otherwise("spacing").alias("kind"))
+
+
+def parsed_tables(lines: DataFrame) -> DataFrame:
+    """(doc_id, page, row, col, cell) of table lines, each page by its ``table_kind``."""
+    own = lines.join(table_kind(lines), PAGE).filter("trim(text) <> ''")
+    grid = table_grid(own.filter("kind = 'grid'").drop("kind")).select(*PAGE, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "cell")
+    texts = (own.filter("kind = 'spacing'").groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("line_idx", "text"))).alias("ls"))
+             .select(F.struct(*PAGE).alias("doc_id"), F.array_join(F.transform("ls", lambda x: x["text"]), "\n").alias("text")))
+    spaced = table_by_spacing(texts).select("doc_id.*", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "cell")
+    return grid.unionByName(spaced)
+
+
+def table_preview(rows: Column) -> Column:
+    """The first eight rows of an array of arrays of cells, a line each, cells parted by a bar."""
+    return F.array_join(F.transform(F.slice(rows, 1, 8), lambda r: F.array_join(r, " | ", "")), "\n")
+
+
+def keyed_rows(columns: Column, rows: Column) -> Column:
+    """A table's rows as maps: header (lower-cased, stripped) or ``col_i`` to cell, the last of equal headers, and the whole row under ``raw``; blank rows go."""
+    def one(row: Column) -> Column:
+        named = F.transform(row, lambda c, i: F.struct(F.coalesce(F.lower(F.trim(F.get(columns, i))), F.concat(F.lit("col_"), i.cast("string"))).alias("key"), c.alias("value")))
+        last = F.filter(named, lambda e, i: ~F.exists(F.slice(named, i + 2, F.greatest(F.size(named), F.lit(1))), lambda x: x["key"] == e["key"]) & (e["key"] != "raw"))
+        return F.map_from_entries(F.concat(last, F.array(F.struct(F.lit("raw").alias("key"), F.array_join(row, " | ", "").alias("value")))))
+
+    return F.transform(F.filter(rows, lambda r: F.exists(r, lambda c: F.trim(c) != "")), one)
+
+
 def candidate_score(confidence: Column, chars: Column) -> Column:
     """How good an OCR pass is: its confidence and, up to 1200 characters, its length."""
     return 0.72 * confidence + 0.28 * F.least(F.lit(1.0), F.log(F.greatest(chars, F.lit(1)).cast("double")) / F.log(F.lit(1200.0)))

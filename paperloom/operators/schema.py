@@ -201,8 +201,3 @@ def generic(rows: DataFrame) -> DataFrame:
     ls = F.col("ls")
     raw = F.transform(b, lambda x, i: F.struct(i.alias("block_id"), x["block_type"].alias("type"), F.array_join(x["lines"], "\n").alias("text"), F.round(x["confidence"], 4).alias("confidence")))
     return r.select("doc_id", F.struct(F.try_element_at(F.filter(ls, lambda x: F.size(X.words(x)) >= 2), F.lit(1)).alias("title"), plain_pairs(ls).alias("fields"), F.slice(ls, 1, 25).alias("important_lines"), raw.alias("raw_sections")).alias("data"))
-
-
-def not_null_leaves(json: Column, depth: int = 5) -> Column:
-    """How many leaves of a JSON text, to a depth, are neither null nor blank; counted from the text of its parts."""
-    return F.regexp_count(json, F.lit(r'"[^"\\]*(?:\\.[^"\\]*)*"\s*:\s*(?!null|""|\{|\[)'))

@@ -112,7 +112,7 @@ def rate_window(spark, sf_dir):
 
 LOCK = """WITH RECURSIVE o AS (SELECT user_id AS key, event_id, epoch_us(ts) AS t, event_type = 'purchase' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type IN ('purchase', 'error', 'click')),
 f AS (SELECT key, event_id, t, k, CASE WHEN ok THEN 0 ELSE 1 END AS n, -1::BIGINT AS until_, CASE WHEN ok THEN 'ok' ELSE 'failed' END AS state FROM o WHERE k = 1 UNION ALL
- SELECT o.key, o.event_id, o.t, o.k, CASE WHEN o.t < f.until_ THEN f.n WHEN o.ok THEN 0 WHEN f.n + 1 >= 5 THEN 0 ELSE f.n + 1 END, CASE WHEN o.t >= f.until_ AND NOT o.ok AND f.n + 1 >= 5 THEN o.t + 172800000000 ELSE f.until_ END,
+ SELECT o.key, o.event_id, o.t, o.k, CASE WHEN o.t < f.until_ THEN f.n WHEN o.ok THEN 0 ELSE f.n + 1 END, CASE WHEN o.t >= f.until_ AND NOT o.ok AND f.n + 1 >= 5 THEN o.t + 172800000000 ELSE f.until_ END,
  CASE WHEN o.t < f.until_ THEN 'refused' WHEN o.ok THEN 'ok' WHEN f.n + 1 >= 5 THEN 'locked' ELSE 'failed' END FROM f JOIN o ON o.key = f.key AND o.k = f.k + 1)
 SELECT key, event_id, state FROM f"""
 

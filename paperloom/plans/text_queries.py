@@ -195,17 +195,17 @@ def doc_type_argmax(spark, sf_dir):
     return classify.document_type(mixed_docs(spark, sf_dir))
 
 
-@query(R.with_ctes(R.INVOICE_SQL, R.CV_SQL, MIXED, SCORES, BEST, query="SELECT doc_id, CASE WHEN confidence < 0.6 THEN 'unknown' ELSE doc_type END AS doc_type, confidence FROM best"))
+@query(R.with_ctes(R.INVOICE_SQL, R.CV_SQL, MIXED, SCORES, BEST, query="SELECT doc_id, CASE WHEN confidence < 0.20 THEN 'unknown' ELSE doc_type END AS doc_type, confidence FROM best"))
 def doc_type_floor(spark, sf_dir):
-    return classify.document_type(mixed_docs(spark, sf_dir), floor=0.6)
+    return classify.document_type(mixed_docs(spark, sf_dir), floor=0.20)
 
 
-@query(R.with_ctes(R.INVOICE_SQL, R.CV_SQL, MIXED, SCORES, BEST, "o AS (SELECT b.doc_id, lower(d.text) AS low, contains(d.text, '|') AS tab, CASE WHEN confidence < 0.6 THEN 'unknown' ELSE doc_type END AS t FROM best b JOIN docs d USING (doc_id)),\n"
+@query(R.with_ctes(R.INVOICE_SQL, R.CV_SQL, MIXED, SCORES, BEST, "o AS (SELECT b.doc_id, lower(d.text) AS low, contains(d.text, '|') AS tab, CASE WHEN confidence < 0.20 THEN 'unknown' ELSE doc_type END AS t FROM best b JOIN docs d USING (doc_id)),\n"
                    r"p AS (SELECT *, CASE WHEN t IN ('unknown', 'form') AND tab AND regexp_matches(low, '\b(invoice|facture|total|vat|tva|amount|montant)\b') THEN 'invoice' ELSE t END AS u FROM o)",
                    query=r"SELECT doc_id, CASE WHEN u = 'unknown' AND regexp_matches(low, '\b(experience|expérience|education|formation|skills|compétences)\b') THEN 'cv' ELSE u END AS doc_type FROM p"))
 def type_override(spark, sf_dir):
     docs = mixed_docs(spark, sf_dir)
-    return classify.override(docs, classify.document_type(docs, floor=0.6), F.when(F.contains("text", F.lit("|")), 1).otherwise(0))
+    return classify.override(docs, classify.document_type(docs, floor=0.20), F.when(F.contains("text", F.lit("|")), 1).otherwise(0))
 
 
 @query(R.with_ctes("k AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}', {n}, '" + k.replace("'", "''") + "')" for i, t in enumerate(P.TYPE_KEYWORDS) for n, k in enumerate(P.TYPE_KEYWORDS[t])) + ") v(o, doc_type, n, keyword))", R.CV_SQL,
@@ -315,7 +315,7 @@ def cv_contact(spark, sf_dir):
 @query(R.with_ctes(R.CV_SQL, lines_sql("cv_docs"), r"sk AS (SELECT doc_id, line FROM lines l WHERE pos = (SELECT min(pos) + 1 FROM lines k WHERE k.doc_id = l.doc_id AND k.line = 'Skills')), parts AS (SELECT doc_id, unnest(regexp_split_to_array(line, '\s{2,}|[;,|]')) AS p FROM sk)",
                    query="SELECT doc_id, lower(trim(p)) AS skill FROM parts WHERE trim(p) <> '' GROUP BY ALL"))
 def cv_skills(spark, sf_dir):
-    return _cv_parts(spark, sf_dir).select("doc_id", F.explode("data.skills").alias("skill"))
+    return _cv_parts(spark, sf_dir).select("doc_id", F.explode(F.map_keys("data.skills")).alias("skill"))
 
 
 @query(R.with_ctes(R.CV_SQL, query="SELECT doc_id, CAST(i - 1 AS INT) AS pos, n AS name, l AS level FROM cv_docs, (VALUES (1, 'French', 'native'), (2, 'English', 'fluent'), (3, 'German', 'basic')) v(i, n, l)"))

@@ -69,7 +69,7 @@ def lockouts(events: DataFrame, *, failures: int = 5, minutes: int = 15, idle: i
         if row.ok:
             return (0, until), (int(row.event_id), "ok")
         if n + 1 >= failures:
-            return (0, t + minutes * 60_000_000), (int(row.event_id), "locked")
+            return (n + 1, t + minutes * 60_000_000), (int(row.event_id), "locked")
         return (n + 1, until), (int(row.event_id), "failed")
 
     return _stateful(events, "key", "key long, event_id long, state string", "n int, until long", (0, -1), step, idle)
