@@ -123,7 +123,10 @@ def test_top_k(spark):
 def test_lockout_and_rate(spark):
     e = spark.createDataFrame([(1, i, i == 7, 1_700_000_000 + 30 * i) for i in range(12)], "key long, event_id long, ok boolean, t long").select("key", "event_id", "ok", F.timestamp_seconds("t").alias("ts"))
     got = [r.state for r in jobs.lockouts(e, failures=3, minutes=1).orderBy("event_id").collect()]
-    assert got == ["failed", "failed", "locked", "refused", "failed", "failed", "locked", "refused", "failed", "failed", "locked", "refused"]
+    # a lock leaves the count as it is, so the next failure locks again; a success that comes while locked is refused
+    assert got == ["failed", "failed", "locked", "refused", "locked", "refused", "locked", "refused", "locked", "refused", "locked", "refused"]
+    reset = [r.state for r in jobs.lockouts(e.withColumn("ok", F.col("event_id") == 4), failures=3, minutes=1).orderBy("event_id").collect()]
+    assert reset == ["failed", "failed", "locked", "refused", "ok", "failed", "failed", "locked", "refused", "locked", "refused", "locked"]
     rate = [(r.n, r.allowed) for r in jobs.rate_limited(e, limit=2, seconds=90).orderBy("event_id").collect()]
     assert rate == [(1, True), (2, True), (3, False)] * 4
 
