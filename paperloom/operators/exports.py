@@ -87,18 +87,30 @@ def invoice_data(text: Column) -> Column:
         return X.bind(found, lambda t: F.struct(t["subtotal"].alias("subtotal"), t["tax"].alias("tax"), F.coalesce(t["total"], t["subtotal"] + t["tax"]).alias("total")))
 
     def of(ls: Column, kv: Column, items: Column) -> Column:
-        first = lambda p: F.try_element_at(F.filter(ls, lambda x: F.rlike(x, F.lit(p))), F.lit(1))
-        who = D.contact(ls)
-        return F.struct(
-            F.struct(F.coalesce(D.party_name(ls, ("vendor", "seller", "from", "émetteur", "fournisseur")), D.company_like(ls)).alias("name"), D.line_containing(ls, ("attention", "à l'attention", "a l'attention")).alias("attention_of")).alias("vendor"),
-            F.struct(who["phone"].alias("phone"), who["email"].alias("email"), F.struct(first(P.STREET).alias("street"), first(P.CITY).alias("city")).alias("address")).alias("client"),
-            items.alias("items"), totals(kv, items).alias("totals"),
-            F.struct(D.line_containing(ls, ("paiement", "payment", "payable", "ordre de")).alias("method"), D.first_value(kv, ("conditions", "terms", "payment_terms", "conditions_de_paiement")).alias("conditions"),
-                     D.account_number(ls).alias("account_number"), F.coalesce(D.first_value(kv, ("due_date", "date_d_echeance", "échéance", "echeance")), D.line_containing(ls, ("sous 30 jours", "due", "échéance", "echeance"))).alias("due_date")).alias("payment"))
+        who = _parties(ls, kv)
+        return F.struct(who["vendor"].alias("vendor"), who["client"].alias("client"), items.alias("items"), totals(kv, items).alias("totals"), who["payment"].alias("payment"))
 
     return X.bind(X.nonempty_lines(text), lambda ls: X.bind(F.struct(D.last_wins(D.pairs(ls)).alias("kv"), table_items(pipe_table(ls)).alias("items")), lambda b: of(ls, b["kv"], b["items"])))
 
 
+def _parties(ls: Column, kv: Column) -> dict[str, Column]:
+    """Vendor, client and payment of an invoice's lines and pairs."""
+    first = lambda p: F.try_element_at(F.filter(ls, lambda x: F.rlike(x, F.lit(p))), F.lit(1))
+    name = F.coalesce(D.party_name(ls, ("vendor", "seller", "from", "émetteur", "fournisseur")), D.company_like(ls))
+    due = F.coalesce(D.first_value(kv, ("due_date", "date_d_echeance", "échéance", "echeance")), D.line_containing(ls, ("sous 30 jours", "due", "échéance", "echeance")))
+    where = F.struct(first(P.STREET).alias("street"), first(P.CITY).alias("city"))
+    return {"vendor": F.struct(name.alias("name"), D.line_containing(ls, ("attention", "à l'attention", "a l'attention")).alias("attention_of")),
+            "client": X.bind(D.contact(ls), lambda who: F.struct(who["phone"].alias("phone"), who["email"].alias("email"), where.alias("address"))),
+            "payment": F.struct(D.line_containing(ls, ("paiement", "payment", "payable", "ordre de")).alias("method"), D.first_value(kv, ("conditions", "terms", "payment_terms", "conditions_de_paiement")).alias("conditions"),
+                                D.account_number(ls).alias("account_number"), due.alias("due_date"))}
+
+
+def invoice_parties(docs: DataFrame) -> DataFrame:
+    """(doc_id, vendor, client, payment) of invoices, without their items and totals."""
+    split = docs.select("doc_id", X.bind(X.nonempty_lines(F.col("text")), lambda ls: F.struct(ls.alias("ls"), D.last_wins(D.pairs(ls)).alias("kv"))).alias("b"))
+    return split.select("doc_id", *(c.alias(n) for n, c in _parties(F.col("b.ls"), F.col("b.kv")).items()))
+
+
 def sections_by_name(rows: Column) -> Column:
     """A map from each section, in order of its first line, to its lines."""
     def of(rs: Column) -> Column:

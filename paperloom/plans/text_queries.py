@@ -349,8 +349,8 @@ def cv_education(spark, sf_dir):
 @query(R.with_ctes(R.INVOICE_SQL, query="SELECT doc_id, 'Acme Trading Ltd' AS vendor, '+33 12 34 45 ' || lpad(CAST(o_custkey % 100 AS VARCHAR), 2, '0') || ' 78' AS phone, CASE WHEN doc_id % 3 = 0 THEN 'sales@acme.example.com' ELSE 'client' || o_custkey || '@example.com' END AS email, '12 rue de Paris' AS street, '12 rue de Paris' AS city, "
                    "'Payment by transfer' AS method, 'net' AS conditions, '1234 5678 9012 ' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') AS account_number FROM invoice_docs JOIN orders ON doc_id = o_orderkey"))
 def invoice_parties(spark, sf_dir):
-    d = exports.invoice(R.invoice_docs(spark, sf_dir))
-    return d.select("doc_id", F.col("data.vendor.name").alias("vendor"), "data.client.phone", "data.client.email", "data.client.address.street", "data.client.address.city", "data.payment.method", "data.payment.conditions", "data.payment.account_number")
+    d = exports.invoice_parties(R.invoice_docs(spark, sf_dir))
+    return d.select("doc_id", F.col("vendor.name").alias("vendor"), "client.phone", "client.email", "client.address.street", "client.address.city", "payment.method", "payment.conditions", "payment.account_number")
 
 
 @query(None)
