@@ -14,6 +14,14 @@ levels, chosen on a bounded sample, deal nodes to shards; in its shard a task
 builds the lower levels and compares pairs in the leaves.  A shard reports
 links that span its groups, at most one a node, never all pairs of a group.
 
+Each upper level deals some nodes twice, so they are ``deepest`` at most, and
+what is dealt stays in proportion to the nodes.  Shards of more than ``most``
+nodes, of very many documents or of a ball of near fingerprints that no vantage
+point parts, are parted exactly: of ``radius`` + k stretches of the bits, linked
+nodes have k in common, so they meet in the part of those k.  Parts that are
+still larger are parted by more stretches; those of the last step can hold
+2^18 fingerprints and no more.
+
 A radius of 3 bits finds copies that differ in a word or two of a long text.
 Texts of a 5-word similarity of 0.8 differ in 10 bits of 64 on average and in
 up to 18, and at such a radius no vantage point parts random fingerprints: the
@@ -30,6 +38,7 @@ that id.  A null doc_id gets a fingerprint but no component (null).
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +58,9 @@ class Config:
     sample: int = 16_384  #: fingerprints that the upper levels are chosen on, at least
     sample_each: int = 64  #: more of them: so many for each shard that is planned
     sample_most: int = 2_000_000  #: of them at most, which plans for 10^9 fingerprints
-    deepest: int = 24  #: upper levels, at most
+    deepest: int = 6  #: upper levels, at most
+    most: int = 131_072  #: nodes of a shard that one task compares; larger ones are parted by ``stretches``
+    stretches: tuple[int, ...] = (1, 3, 9)  #: stretches of bits that are alike in a part, of ``radius`` more, step by step
     leaf: int = 1024  #: nodes that are compared pair by pair
     tries: int = 6  #: vantage points tried for a split
     similarity: float | None = None  #: for ``keep_one``: link by Jaccard similarity of shingle sets, at least this, instead of by bits
@@ -156,6 +167,34 @@ def deal(nodes: list, points: np.ndarray, radius: int) -> list[tuple[int, np.nda
     return out
 
 
+def masks(alike: int, radius: int) -> list[int]:
+    """Every choice of ``alike`` of ``alike`` + ``radius`` stretches of the 64 bits, as signed longs."""
+    n = alike + radius
+    ends = [64 * i // n for i in range(n + 1)]
+    stretches = [(1 << j) - (1 << i) for i, j in zip(ends, ends[1:], strict=False)]
+    return [(m ^ 1 << 63) - (1 << 63) for m in map(sum, combinations(stretches, alike))]
+
+
+def parted(rows: DataFrame, config: Config) -> DataFrame:
+    """``rows`` (shard, fp, rep) with the ``task`` that compares them: a shard, or several parts of shards of more than ``most`` rows."""
+    done = None
+    for alike in config.stretches:
+        large = common.cut(rows.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > config.most).select("shard"))
+        if large.isEmpty():
+            break
+        small = rows.join(large, "shard", "left_anti")
+        small = small.withColumn("task", F.col("shard")) if done is None else _tasks(small, config)
+        done = small if done is None else done.unionByName(small)
+        parts = F.array(*(F.xxhash64("shard", F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(masks(alike, config.radius))))
+        rows = common.cut(common.salted_join(rows, large, ["shard"], ["fp"]).select(F.explode(parts).alias("shard"), "fp", "rep"))
+    return rows.withColumn("task", F.col("shard")) if done is None else done.unionByName(_tasks(rows, config))
+
+
+def _tasks(rows: DataFrame, config: Config) -> DataFrame:
+    """Deals parts, most of which are small, to tasks of about ``shard`` rows; a part stays whole."""
+    return rows.withColumn("task", -1 - F.pmod(F.xxhash64("shard"), F.lit(1 + rows.count() // config.shard)))
+
+
 class Union:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -237,13 +276,16 @@ def links(nodes: DataFrame, config: Config = Config()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(points[took].view(np.int64)), pa.array(reps[took])], names=["shard", "fp", "rep"])
 
     def compare(group: pa.Table) -> pa.Table:
-        points = group.column("fp").to_numpy().view(np.uint64)
-        reps = group.column("rep").to_numpy()
-        root = groups(points, config)
+        shard = group.column("shard").to_numpy()
+        order = np.argsort(shard, kind="stable")
+        points, reps = group.column("fp").to_numpy().view(np.uint64)[order], group.column("rep").to_numpy()[order]
+        starts = np.flatnonzero(np.diff(shard[order], prepend=shard[order[0]] - 1)).tolist()
+        root = np.concatenate([groups(points[i:j], config) + i for i, j in zip(starts, [*starts[1:], len(order)], strict=True)])
         linked = np.flatnonzero(root != np.arange(len(root)))
         return pa.table({"a": pa.array(reps[linked], pa.int64()), "b": pa.array(reps[root[linked]], pa.int64())})
 
-    return nodes.select("fp", "rep").mapInArrow(route, "shard long, fp long, rep long").groupBy("shard").applyInArrow(compare, "a long, b long")
+    rows = nodes.select("fp", "rep").mapInArrow(route, "shard long, fp long, rep long")
+    return parted(rows, config).groupBy("task").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", config: Config = Config()) -> DataFrame:

@@ -63,6 +63,41 @@ def test_shards_keep_every_link_together():
             assert any(i in s and j in s for s in shards)
 
 
+def test_large_shards_are_parted_and_keep_every_link(spark):
+    rng = np.random.default_rng(12)
+    flips = lambda points, most: points ^ np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, most + 1), replace=False)) for _ in points], np.uint64)
+    base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    points = np.unique(np.concatenate([base, flips(base, 4), flips(np.repeat(base[:1], 900), 9), flips(np.repeat(base[1:2], 200), 3)]))
+    edges = [(i, j) for i in range(len(points)) for j in (np.flatnonzero(np.bitwise_count(points[i + 1:] ^ points[i]) <= 3) + i + 1).tolist()]
+    want = plain_components(edges, range(len(points)))
+    nodes = spark.createDataFrame([(int(p), k) for k, p in enumerate(points.view(np.int64))], "fp long, rep long")
+    for most, deepest in ((100_000, 0), (400, 0), (40, 0), (4, 3)):
+        config = simhash.Config(shard=200, most=most, deepest=deepest)
+        got = {r.node: r.root for r in components.components(simhash.links(nodes, config), "a", "b").collect()}
+        assert got == {i: r for i, r in want.items() if list(want.values()).count(r) > 1}
+
+
+@pytest.mark.parametrize("alike", simhash.Config().stretches)
+def test_linked_fingerprints_are_alike_under_some_mask(alike):
+    rng = np.random.default_rng(3)
+    masks = [m & (1 << 64) - 1 for m in simhash.masks(alike, 3)]
+    for _ in range(300):
+        difference = sum(1 << int(b) for b in rng.choice(64, 3, replace=False))
+        assert any(not difference & m for m in masks)
+    assert min(m.bit_count() for m in masks) >= 64 - 3 * -(-64 // (alike + 3))
+
+
+def test_rows_dealt_grow_with_the_rows():
+    rng = np.random.default_rng(3)
+    dealt = []
+    for n in (1_000_000, 4_000_000, 16_000_000):  # a sample stands for the fingerprints, as the tree is chosen on one
+        points = rng.integers(0, 1 << 64, 60_000, dtype=np.uint64)
+        config = simhash.Config()
+        tree = simhash.upper_levels(points[:config.sample], n, config)
+        dealt.append(sum(len(places) for _, places in simhash.deal(tree, points, config.radius)) / len(points))
+    assert max(dealt) < 5 and dealt[2] < 1.1 * dealt[0]
+
+
 @pytest.mark.parametrize("one_task", [0, 1_000_000])
 def test_components(spark, one_task):
     rng = random.Random(2)
