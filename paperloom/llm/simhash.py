@@ -284,7 +284,7 @@ def links(nodes: DataFrame, config: Config = Config()) -> DataFrame:
         linked = np.flatnonzero(root != np.arange(len(root)))
         return pa.table({"a": pa.array(reps[linked], pa.int64()), "b": pa.array(reps[root[linked]], pa.int64())})
 
-    rows = nodes.select("fp", "rep").mapInArrow(route, "shard long, fp long, rep long")
+    rows = common.cut(nodes.select("fp", "rep").mapInArrow(route, "shard long, fp long, rep long"))
     return parted(rows, config).groupBy("task").applyInArrow(compare, "a long, b long")
 
 
