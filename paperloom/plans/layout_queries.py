@@ -32,7 +32,21 @@ def iou_pairs(spark, sf_dir):
     return L.duplicate_pairs(R.line_boxes(spark, sf_dir))
 
 
-@query(None)
+# a step for each line, in order: it joins what is kept, or takes the place of the first kept line that it doubles
+LINE = "{'line_idx': line_idx, 'text': text, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'confidence': confidence}"
+BETTER = "(s.confidence > x.confidence OR (s.confidence = x.confidence AND length(s.text) > length(x.text)))"
+KEPT = R.BOX_SQL.strip() + f""", o AS (
+  SELECT doc_id, page, {LINE} AS s, row_number() OVER (PARTITION BY doc_id ORDER BY y1, x1, line_idx) AS k FROM line_boxes
+), f AS (
+  SELECT doc_id, page, k, [s] AS kept FROM o WHERE k = 1
+  UNION ALL
+  SELECT doc_id, page, k, CASE WHEN place IS NULL THEN list_append(kept, s) ELSE list_transform(kept, lambda x, i: CASE WHEN i = place AND {BETTER} THEN s ELSE x END) END
+  FROM (SELECT o.doc_id, o.page, o.k, s, kept, nullif(list_position(list_transform(kept, lambda x: {duplicate_sql('s', 'x')}), true), 0) AS place
+        FROM f JOIN o ON o.doc_id = f.doc_id AND o.k = f.k + 1)
+), last AS (SELECT doc_id, page, kept FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) = 1)"""
+
+
+@query("WITH RECURSIVE " + KEPT + " SELECT doc_id, page, x.* FROM (SELECT doc_id, page, unnest(kept) AS x FROM last)")
 def iou_greedy_dedupe(spark, sf_dir):
     return L.drop_duplicates(R.line_boxes(spark, sf_dir))
 
@@ -51,7 +65,26 @@ def column_separator(spark, sf_dir):
     return L.column_separator(R.line_boxes(spark, sf_dir))
 
 
-@query(None)
+SIDES = SEP + """, gaps AS (
+  SELECT doc_id, cx - lag(cx) OVER o AS gap, (cx + lag(cx) OVER o) / 2 AS mid, row_number() OVER o AS i FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY cx)
+), far AS (SELECT doc_id, gap, mid FROM gaps WHERE gap IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY gap DESC, i) = 1
+), parted AS (
+  SELECT w.*, CASE WHEN n >= 8 THEN coalesce(best.sep, CASE WHEN gap >= greatest(90, 0.10::DOUBLE * w) THEN mid END) END AS sep
+  FROM w LEFT JOIN best USING (doc_id) LEFT JOIN far USING (doc_id)
+), sides AS (
+  SELECT doc_id, count(*) FILTER (WHERE cx <= sep) >= 3 AND count(*) FILTER (WHERE cx > sep) >= 3 AS two,
+    max(x2) FILTER (WHERE cx <= sep) - min(x1) FILTER (WHERE cx <= sep) AS span_left, max(x2) FILTER (WHERE cx > sep) - min(x1) FILTER (WHERE cx > sep) AS span_right,
+    min(x1) FILTER (WHERE cx > sep) AS starts, string_agg(lower(text), chr(10)) FILTER (WHERE cx <= sep) AS words
+  FROM parted GROUP BY doc_id
+)"""
+SIDE_HITS = " + ".join(f"contains(words, '{k}')::INT" for k in L.SIDEBAR_WORDS)
+
+
+@query(R.with_ctes(SIDES, query=f"""
+SELECT doc_id, page, line_idx, CASE WHEN two AND cx > sep THEN 1 ELSE 0 END AS column_id,
+  CASE WHEN NOT two THEN 'main' WHEN NOT (span_left < 0.38::DOUBLE * w AND span_right > 1.25::DOUBLE * span_left AND starts > 0.30::DOUBLE * w AND {SIDE_HITS} >= 2) THEN 'column'
+    WHEN cx <= sep THEN 'sidebar' ELSE 'main' END AS role
+FROM parted JOIN sides USING (doc_id)"""))
 def column_split_roles(spark, sf_dir):
     return L.columns(R.line_boxes(spark, sf_dir))
 
@@ -113,7 +146,19 @@ def table_rows_cluster(spark, sf_dir):
     return L.table_rows(R.line_boxes(spark, sf_dir))
 
 
-@query(None)
+GRID = ROWS + """, e AS (SELECT DISTINCT doc_id, unnest([x1, x2]) AS x FROM line_boxes
+), m AS (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY doc_id ORDER BY x) <= 15 THEN 0 ELSE 1 END AS new FROM e
+), g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY x) - 1 AS edge FROM m
+), places AS (SELECT doc_id, edge, avg(x) AS place FROM g GROUP BY doc_id, edge
+), cols AS (SELECT doc_id, CAST(edge AS INT) AS edge, place, lead(place) OVER (PARTITION BY doc_id ORDER BY edge) AS until FROM places
+), placed AS (
+  SELECT f.doc_id, f.page, f.r, f.line_idx, l.text, coalesce(c.edge, 0) AS col
+  FROM f JOIN line_boxes l ON l.doc_id = f.doc_id AND l.line_idx = f.line_idx
+  LEFT JOIN cols c ON c.doc_id = l.doc_id AND c.place <= (l.x1 + l.x2) / 2.0 AND (l.x1 + l.x2) / 2.0 < c.until
+)"""
+
+
+@query("WITH RECURSIVE " + GRID + """ SELECT doc_id, page, r AS "row", col, string_agg(text, ' ' ORDER BY line_idx) AS cell FROM placed GROUP BY doc_id, page, r, col""")
 def table_grid(spark, sf_dir):
     return L.table_grid(R.line_boxes(spark, sf_dir))
 

@@ -91,7 +91,14 @@ def schema_validation(spark, sf_dir):
     return payloads.checked(R.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), j.alias("json")), payloads.INVOICE)
 
 
-@query(None)
+VIEW = """s AS (SELECT *, max(x2) OVER (PARTITION BY doc_id) AS w, max(y2) OVER (PARTITION BY doc_id) AS h FROM line_boxes
+), d AS (
+  SELECT doc_id, x1, y1, x2, y2, text, format('<div title="{}" style="left:{:.2f}%;top:{:.2f}%;width:{:.2f}%;height:{:.2f}%"></div>',
+    text, x1 * 100.0::DOUBLE / w, y1 * 100.0::DOUBLE / h, (x2 - x1) * 100.0::DOUBLE / w, (y2 - y1) * 100.0::DOUBLE / h) AS box FROM s
+)"""
+
+
+@query(R.with_ctes(R.BOX_SQL, VIEW, query="""SELECT doc_id, '<!doctype html><div class="page">' || string_agg(box, '' ORDER BY y1, x1, x2, y2, text) || '</div>' AS html FROM d GROUP BY doc_id"""))
 def layout_viewer(spark, sf_dir):
     return payloads.viewer_html(R.line_boxes(spark, sf_dir))
 
