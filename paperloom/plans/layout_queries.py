@@ -89,7 +89,23 @@ def column_split_roles(spark, sf_dir):
     return L.columns(R.line_boxes(spark, sf_dir))
 
 
-@query(None)
+# no text of these lines is a heading or a bullet
+CUT = R.BOX_SQL.strip() + """, tall AS (SELECT *, greatest(1, y2 - y1) AS tall, (y1 + y2) / 2.0 AS cy, row_number() OVER (PARTITION BY doc_id ORDER BY y1, x1, line_idx) AS k FROM line_boxes
+), usual AS (SELECT doc_id, list_sort(list(tall))[CAST(floor(count(*) / 2) AS INT) + 1] AS h FROM tall GROUP BY doc_id
+), o AS (SELECT * FROM tall JOIN usual USING (doc_id)
+), f AS (
+  SELECT doc_id, page, line_idx, k, x1 AS "left", y2 AS bottom, cy, tall, 0 AS block FROM o WHERE k = 1
+  UNION ALL
+  SELECT doc_id, page, line_idx, k, CASE WHEN breaks THEN x1 ELSE least("left", x1) END, y2, cy, tall, CASE WHEN breaks THEN block + 1 ELSE block END
+  FROM (
+    SELECT o.doc_id, o.page, o.line_idx, o.k, o.x1, o.y2, o.cy, o.tall, f."left", f.block,
+      o.y1 - f.bottom > greatest(1.8 * h, 34) OR (o.y1 - f.bottom > 0.7 * h AND abs(o.x1 - f."left") > greatest(60, 2.5 * h) AND abs(o.cy - f.cy) > 0.65 * greatest(o.tall, f.tall)) AS breaks
+    FROM f JOIN o ON o.doc_id = f.doc_id AND o.k = f.k + 1
+  )
+)"""
+
+
+@query("WITH RECURSIVE " + CUT + " SELECT doc_id, page, line_idx, block FROM f")
 def block_segmentation(spark, sf_dir):
     return L.blocks(R.line_boxes(spark, sf_dir))
 

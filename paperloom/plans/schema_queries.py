@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import payloads, schema
 from ..sources import rendered as R
 from .registry import query
-from .text_queries import PAIRS, lines_sql
+from .text_queries import PAIRS, RANGE, lines_sql, section_sql
 
 
 def _cv(spark, sf_dir):
@@ -27,7 +27,10 @@ def schema_cv_entries(spark, sf_dir):
     return rows.select("doc_id", "pos", "e.title", "e.organization", "e.date_range", F.array_join("e.description", ";").alias("description"), F.array_join("e.bullets", ";").alias("bullets"))
 
 
-@query(None)
+@query("WITH " + section_sql("Education", "Skills") + f"""
+SELECT doc_id, 0 AS pos, max(CASE WHEN pos = 0 THEN line END) AS title, max(CASE WHEN pos = 1 THEN line END) AS organization,
+  max(nullif(regexp_extract(line, {RANGE}, 0, 'i'), '')) AS date_range
+FROM part GROUP BY doc_id""")
 def schema_cv_education(spark, sf_dir):
     rows = _cv(spark, sf_dir).select("doc_id", F.posexplode("data.education").alias("pos", "e"))
     return rows.select("doc_id", "pos", "e.title", "e.organization", "e.date_range")

@@ -340,7 +340,20 @@ def cv_work(spark, sf_dir):
     return rows.select("doc_id", "pos", "x.company", "x.position", "x.location", F.array_join("x.dates", ";").alias("dates"), F.array_join("x.responsibilities", ";").alias("responsibilities"))
 
 
-@query(None)
+#: The lines of one section of the curricula, numbered from 0.
+def section_sql(heading: str, until: str) -> str:
+    return (R.CV_SQL.strip() + ",\n" + lines_sql("cv_docs") + f""",
+bounds AS (SELECT doc_id, max(CASE WHEN line = '{heading}' THEN pos END) AS a, max(CASE WHEN line = '{until}' THEN pos END) AS b FROM lines GROUP BY doc_id),
+part AS (SELECT doc_id, line, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INT) AS pos FROM lines JOIN bounds USING (doc_id) WHERE pos > a AND pos < b)""")
+
+
+RANGE = "'" + P.DATE_RANGE.removeprefix("(?iU)").replace("'", "''") + "'"
+
+
+@query("WITH " + section_sql("Education", "Skills") + """
+SELECT doc_id, 0 AS pos, max(CASE WHEN pos = 0 THEN line END) AS name, max(CASE WHEN pos = 1 THEN line END) AS university,
+  coalesce(string_agg(regexp_extract(line, '[0-9]{4}'), ';' ORDER BY pos) FILTER (WHERE regexp_matches(line, '[0-9]{4}')), '') AS dates
+FROM part GROUP BY doc_id""")
 def cv_education(spark, sf_dir):
     rows = _cv_parts(spark, sf_dir).select("doc_id", F.posexplode("data.education.formation").alias("pos", "x"))
     return rows.select("doc_id", "pos", "x.name", "x.university", F.array_join("x.dates", ";").alias("dates"))
@@ -452,7 +465,18 @@ def priority_key(spark, sf_dir):
     return kv.select("doc_id", D.first_key(F.col("kv"), ("terms",)).alias("terms"), D.first_key(F.col("kv"), ("montant", "total")).alias("amount"))
 
 
-@query(None)
+GROUPS = section_sql("Experience", "Education") + f""", marked AS (
+  SELECT *, regexp_matches(line, {RANGE}, 'i') AS dated, regexp_matches(line, '^[-•*]') AS bullet FROM part
+), g AS (
+  SELECT doc_id, pos AS k, 0 AS entry, 0 AS pos, line, 1 AS n FROM marked WHERE pos = 0
+  UNION ALL
+  SELECT m.doc_id, m.pos, CASE WHEN fresh THEN entry + 1 ELSE entry END, CASE WHEN fresh THEN 0 ELSE n END, m.line, CASE WHEN fresh THEN 1 WHEN m.dated THEN 0 ELSE n + 1 END
+  FROM (SELECT g.doc_id, g.k, entry, n, n = 0 OR (n >= 5 AND NOT m.dated AND NOT m.bullet) AS fresh FROM g JOIN marked m ON m.doc_id = g.doc_id AND m.pos = g.k + 1) q
+  JOIN marked m ON m.doc_id = q.doc_id AND m.pos = q.k + 1
+)"""
+
+
+@query("WITH RECURSIVE " + GROUPS + " SELECT doc_id, entry, pos, line FROM g")
 def entry_groups(spark, sf_dir):
     ss = R.cv_docs(spark, sf_dir).select("doc_id", D.labelled_sections(X.nonempty_lines(F.col("text"))).alias("ss"))
     return fields.entry_groups(ss.select("doc_id", D.fuzzy_section(F.col("ss"), ("experience",)).alias("lines")))

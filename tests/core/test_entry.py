@@ -16,7 +16,7 @@ DATA = Path(os.environ.get("TESTDATA_DIR", "/root/testdata/sf0.001"))
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SAMPLE = ("invoice_totals", "kv_suffixed", "doc_type_argmax", "language_rules", "grounding_check", "point_in_rect_assign", "table_rows_cluster", "dashboard_stats", "rate_window", "coerce_typed", "cosine_topk", "schema_invoice", "key_entities",
           "lockout", "doc_type_floor", "cv_skills", "image_measures", "pdf_pages", "pdf_text_lines", "svg_text_lines", "table_kinds", "layout_sidebar_label", "table_previews", "keyed_items", "path_stems",
-          "iou_greedy_dedupe", "column_split_roles", "table_grid", "layout_viewer")
+          "iou_greedy_dedupe", "column_split_roles", "table_grid", "layout_viewer", "block_segmentation", "entry_groups", "cv_education", "schema_cv_education", "document_summary")
 
 
 def test_names():
