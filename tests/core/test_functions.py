@@ -81,3 +81,13 @@ def test_sections_keep_the_order_of_their_headings(spark):
     assert one(spark, D.fuzzy_section(rows, ("skills", "education")), ls=ls) == ["one", "a school", "another"]
     assert [(r.section, r.line) for r in one(spark, D.labelled_sections(F.col("ls")), ls=ls)] == [("body", "before"), ("education", "a school"), ("skills", "one"), ("education", "another")]
     assert one(spark, D.exact_section(rows, "Éducation"), ls=ls) == ["a school", "another"]
+
+
+@pytest.mark.parametrize(("lines", "want"), [
+    (["Invoice: INV-1234567", "Client 900001", "E-mail: client900001@example.com", "Tel: +33 12 34 45 07 78"], "+33 12 34 45 07 78"),
+    (["Ana Silva", "mail: c900000@example.org", "+33 6 12 34 56 07"], "12 34 56 07"),
+    (["ref 123456", "call 0612345678"], "0612345678"),
+    (["ref 123456"], "123456"),
+    (["no digits"], None)])
+def test_phone_is_a_number_written_as_one(spark, lines, want):
+    assert spark.createDataFrame([(lines,)], "ls array<string>").select(D.contact(F.col("ls"))["phone"].alias("p")).first().p == want
