@@ -73,17 +73,26 @@ def labelled_sections(lines: Column, headings: bool = False) -> Column:
     With ``headings`` each heading has a row too, with a null line, so that sections
     have their places even where they are empty.
     """
-    start = F.struct(F.lit("body").alias("section"), F.array().cast("array<struct<section:string,line:string>>").alias("rows"))
+    def of(ls: Column) -> Column:
+        def rows(name: Column, said: Column, is_head: Column) -> Column:
+            found = F.transform(said, lambda x: F.struct(name.alias("section"), x.alias("line")))
+            own = F.array(F.struct(name.alias("section"), F.lit(None).cast("string").alias("line")))
+            return F.when(is_head, F.concat(own, found)).otherwise(found) if headings else found
 
-    def step(acc: Column, x: Column) -> Column:
-        def on(head: Column) -> Column:
-            name = F.when(head, X.norm(x)).otherwise(acc["section"])
-            row = F.array(F.struct(name.alias("section"), F.when(~head, x).alias("line")))
-            return F.struct(name.alias("section"), F.when(head & F.lit(not headings), acc["rows"]).otherwise(F.concat(acc["rows"], row)).alias("rows"))
+        return F.flatten(stretches(ls, X.is_heading, lambda x, first, said, is_head: rows(F.when(is_head, X.norm(x)).otherwise("body"), said, is_head)))
+
+    return X.bind(lines, of)
 
-        return X.bind(X.is_heading(x), on)
 
-    return F.aggregate(lines, start, step)["rows"]
+def stretches(ls: Column, opens, made) -> Column:
+    """``made(head, first, said, is_head)`` of the lines before the first that opens a stretch, and of each stretch.
+
+    ``head`` is the line that opens it, of place ``first`` (null and -1 before the
+    first one), ``said`` the lines after it.  Slices, as a fold would copy what it holds at every line.
+    """
+    places = F.concat(F.array(F.lit(-1)), F.filter(F.transform(ls, lambda x, i: F.when(opens(x), i)), lambda i: i.isNotNull()))
+    return X.bind(places, lambda ps: F.transform(ps, lambda p, k: made(
+        F.get(ls, p), p, F.slice(ls, p + 2, F.coalesce(F.get(ps, k + 1), F.size(ls)) - p - 1), p >= 0)))
 
 
 def _said(sections: Column, name: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import patterns as P
@@ -28,6 +28,9 @@ _MARKED, _PLAIN = _folding()
 #: What counts as white space at a text's ends.
 BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
+#: the same for a pattern
+_BLANK = "\\t\\n\\x0b\\x0c\\r\\x1c\\x1d\\x1e\\x1f \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+
 
 def bind(value: Column, use) -> Column:
     """``use`` of a value that is computed once."""
@@ -61,8 +64,21 @@ def strip(text: Column) -> Column:
 
 def nonempty_lines(text: Column) -> Column:
     """The stripped lines that are not blank, as an array."""
-    parts = F.split(F.coalesce(text, F.lit("")), "\r\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]")
-    return F.filter(F.transform(parts, strip), lambda x: x != "")
+    def of(t: Column) -> Column:
+        plain = ~(F.rlike(t, F.lit("[^!-~ \\n]")) | F.contains(t, F.lit(" \n")) | F.contains(t, F.lit("\n ")) | F.startswith(t, F.lit(" ")) | F.endswith(t, F.lit(" ")))
+        # an end of line goes with the white space around it, so no line has to be stripped by itself
+        ends = f"(?<![{_BLANK}])[{_BLANK}]*[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029][{_BLANK}]*"
+        return F.when(plain, F.split(t, "\n")).otherwise(F.split(strip(t), ends))
+
+    return F.filter(bind(F.coalesce(text, F.lit("")), of), lambda x: x != "")
+
+
+def exploded(rows: DataFrame, values: Column, pos: str, value: str, *keep: str | Column) -> DataFrame:
+    """``keep`` with each element of an array and its place.
+
+    The array is computed once: under an inner explode Spark filters by the array's size, and computes it there too.
+    """
+    return rows.select(*keep, F.posexplode_outer(values).alias(pos, value)).filter(F.col(pos).isNotNull())
 
 
 def words(text: Column) -> Column:
@@ -122,7 +138,7 @@ def split_list(line: Column) -> Column:
 
 
 def is_heading(line: Column) -> Column:
-    return norm(line).isin(*P.HEADINGS) | ((F.size(words(line)) <= 3) & is_upper(line) & (F.char_length(line) > 3))
+    return norm(line).isin(*P.HEADINGS) | ((F.char_length(line) > 3) & is_upper(line) & (F.size(words(line)) <= 3))
 
 
 def is_section_heading(line: Column) -> Column:

@@ -6,6 +6,8 @@ pass without a join; nothing shuffles.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,8 @@ TYPES = tuple(P.TYPE_KEYWORDS)
 
 def hits(low: Column, doc_type: str) -> Column:
     """How many of a type's keywords a lower-cased text contains; a keyword listed twice counts twice."""
-    return F.size(F.filter(F.array(*[F.lit(k.lower()) for k in P.TYPE_KEYWORDS[doc_type]]), lambda k: F.contains(low, k)))
+    times = Counter(k.lower() for k in P.TYPE_KEYWORDS[doc_type])
+    return sum((F.when(F.contains(low, F.lit(k)), n).otherwise(0) for k, n in times.items()), F.lit(0))
 
 
 def _scores(text: Column, more: dict[str, Column] | None = None) -> Column:
@@ -58,8 +61,12 @@ def document_type(docs: DataFrame, *, floor: float | None = None, visual: dict[s
 def evidence(docs: DataFrame, most: int = 8) -> DataFrame:
     """(doc_id, doc_type, pos, keyword): the first keywords of each type that the text contains."""
     low = F.lower(F.coalesce("text", F.lit("")))
-    rows = [F.struct(F.lit(t).alias("doc_type"), F.slice(F.filter(F.array(*map(F.lit, P.TYPE_KEYWORDS[t])), lambda k: F.contains(low, F.lower(k))), 1, most).alias("k")) for t in TYPES]
-    return docs.select("doc_id", F.inline(F.array(*rows))).select("doc_id", "doc_type", F.posexplode("k").alias("pos", "keyword"))
+
+    def of(low: Column) -> Column:
+        said = lambda k: F.when(F.contains(low, F.lit(k.lower())), F.lit(k))
+        return F.array(*[F.struct(F.lit(t).alias("doc_type"), F.slice(F.array_compact(F.array(*map(said, P.TYPE_KEYWORDS[t]))), 1, most).alias("k")) for t in TYPES])
+
+    return X.exploded(X.exploded(docs, X.bind(low, of), "_i", "_r", "doc_id").select("doc_id", "_r.*"), F.col("k"), "pos", "keyword", "doc_id", "doc_type")
 
 
 def override(docs: DataFrame, types: DataFrame, tables: Column) -> DataFrame:

@@ -5,6 +5,8 @@ Each is one projection over the lines of a document in its row.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,15 +67,23 @@ def projects(sections: Column) -> Column:
                        lambda g: F.struct(F.get(g, F.lit(0)).alias("name"), F.array_join(F.slice(g, F.lit(2), F.size(g)), " ").alias("description")))
 
 
-def cv_data(text: Column) -> Column:
-    """A curriculum's parts as a struct."""
+def _skills(ss: Column) -> Column:
+    names = F.array_distinct(F.transform(D.section_list(ss, ("skills", "compétences", "competences")), lambda x: F.lower(x)))
+    return F.map_from_entries(F.transform(names, lambda x: F.struct(x, F.lit(True))))
+
+
+#: a curriculum's parts, of its lines and sections
+CV_PARTS = {
+    "personal_info": lambda ls, ss: F.struct(D.candidate_name(ls).alias("name"), D.contact(ls).alias("contact"), D.section_list(ss, ("hobbies", "centres d'intérêt", "interests")).alias("hobbies")),
+    "education": lambda ls, ss: F.struct(education(ss).alias("formation")), "work_experience": lambda ls, ss: work(ss), "skills": lambda ls, ss: _skills(ss),
+    "languages": lambda ls, ss: languages(ss), "certifications": lambda ls, ss: certifications(ss), "projects": lambda ls, ss: projects(ss),
+}
+
+
+def cv_data(text: Column, parts: Sequence[str] | None = None) -> Column:
+    """A curriculum's parts as a struct; all of them, or those named."""
     def of(ls: Column, ss: Column) -> Column:
-        skills = F.array_distinct(F.transform(D.section_list(ss, ("skills", "compétences", "competences")), lambda x: F.lower(x)))
-        return F.struct(
-            F.struct(D.candidate_name(ls).alias("name"), D.contact(ls).alias("contact"), D.section_list(ss, ("hobbies", "centres d'intérêt", "interests")).alias("hobbies")).alias("personal_info"),
-            F.struct(education(ss).alias("formation")).alias("education"), work(ss).alias("work_experience"),
-            F.map_from_entries(F.transform(skills, lambda x: F.struct(x, F.lit(True)))).alias("skills"), languages(ss).alias("languages"),
-            certifications(ss).alias("certifications"), projects(ss).alias("projects"))
+        return F.struct(*[part(ls, ss).alias(name) for name, part in CV_PARTS.items() if parts is None or name in parts])
 
     return X.bind(X.nonempty_lines(text), lambda ls: X.bind(D.labelled_sections(ls, headings=True), lambda ss: of(ls, ss)))
 
@@ -128,9 +138,9 @@ def generic_data(text: Column) -> Column:
         sections_by_name(D.labelled_sections(ls)).alias("sections"), F.filter(F.array(pipe_table(ls)), lambda t: F.size(t) > 0).alias("tables")))
 
 
-def cv(docs: DataFrame) -> DataFrame:
-    """(doc_id, data)."""
-    return docs.select("doc_id", cv_data(F.col("text")).alias("data"))
+def cv(docs: DataFrame, parts: Sequence[str] | None = None) -> DataFrame:
+    """(doc_id, data); ``parts`` names the parts to compute, all without it."""
+    return docs.select("doc_id", cv_data(F.col("text"), parts).alias("data"))
 
 
 def invoice(docs: DataFrame) -> DataFrame:

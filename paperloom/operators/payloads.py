@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import geometry as G
 from ..functions import patterns as P
+from ..functions import text as X
 
 MODERN = "struct<rec_texts:array<string>,rec_scores:array<double>,rec_polys:array<array<array<double>>>,rec_boxes:array<array<double>>>"
 LINES = "array<struct<text:string,confidence:double,polygon:array<struct<x:double,y:double>>,x1:double,y1:double,x2:double,y2:double>>"
@@ -48,13 +49,13 @@ def legacy_lines(payload: Column) -> Column:
 def lines(rows: DataFrame, *, json_col: str = "payload") -> DataFrame:
     """(doc_id, line_idx, text, confidence, x1, y1, x2, y2) of payloads of either shape; what does not decode has no lines."""
     found = F.when(F.startswith(F.ltrim(json_col), F.lit("[")), legacy_lines(F.col(json_col))).otherwise(modern_lines(F.col(json_col)))
-    return rows.select("doc_id", F.posexplode(found).alias("line_idx", "l")).select("doc_id", "line_idx", "l.text", "l.confidence", "l.x1", "l.y1", "l.x2", "l.y2")
+    return X.exploded(rows, found, "line_idx", "l", "doc_id").select("doc_id", "line_idx", "l.text", "l.confidence", "l.x1", "l.y1", "l.x2", "l.y2")
 
 
 def regions(rows: DataFrame, *, json_col: str = "payload") -> DataFrame:
     """(doc_id, region_idx, region_type, confidence, x1, y1, x2, y2) of layout payloads {"boxes": [{label, score, coordinate}]}."""
     found = F.from_json(json_col, "struct<boxes:array<struct<label:string,score:double,coordinate:array<double>>>>")["boxes"]
-    r = rows.select("doc_id", F.posexplode(found).alias("region_idx", "r"))
+    r = X.exploded(rows, found, "region_idx", "r", "doc_id")
     return (r.select("doc_id", "region_idx", region_type(F.col("r.label")).alias("region_type"), G.confidence(F.col("r.score")).alias("confidence"), G.from_any(F.col("r.coordinate")).alias("b"))
             .filter("b is not null").select("doc_id", "region_idx", "region_type", "confidence", "b.*"))
 

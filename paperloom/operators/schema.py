@@ -23,18 +23,15 @@ ENTRY = "struct<title:string,organization:string,date_range:string,location:stri
 def text_blocks(docs: DataFrame) -> DataFrame:
     """(doc_id, blocks): a line that names a section opens a block of that section's type; what comes before is a paragraph."""
     types = F.create_map(*[F.lit(x) for kv in P.SECTION_TYPES.items() for x in kv])
-    start = F.struct(F.array().cast(BLOCKS).alias("done"), F.struct(F.lit("paragraph").alias("block_type"), F.array().cast("array<string>").alias("lines"), F.lit(1.0).alias("confidence")).alias("open"))
 
-    def closed(acc: Column) -> Column:
-        return F.when(F.size(acc["open"]["lines"]) > 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
+    def block(head: Column, first: Column, said: Column, is_head: Column) -> Column:
+        kind = F.when(is_head, F.coalesce(types[X.section_of(head)], F.lit("paragraph"))).otherwise("paragraph")
+        return F.struct(kind.alias("block_type"), F.when(is_head, F.concat(F.array(head), said)).otherwise(said).alias("lines"), F.lit(1.0).alias("confidence"))
 
-    def step(acc: Column, x: Column) -> Column:
-        opens = X.is_section_heading(x)
-        kind = F.coalesce(types[X.section_of(x)], F.lit("paragraph"))
-        return (F.when(opens, F.struct(closed(acc).alias("done"), F.struct(kind.alias("block_type"), F.array(x).alias("lines"), F.lit(1.0).alias("confidence")).alias("open")))
-                .otherwise(F.struct(acc["done"].alias("done"), F.struct(acc["open"]["block_type"].alias("block_type"), F.concat(acc["open"]["lines"], F.array(x)).alias("lines"), F.lit(1.0).alias("confidence")).alias("open"))))
+    def of(ls: Column) -> Column:
+        return F.filter(D.stretches(ls, X.is_section_heading, block), lambda b: F.size(b["lines"]) > 0)
 
-    return docs.select("doc_id", F.aggregate(X.nonempty_lines(F.col("text")), start, step, closed).alias("blocks"))
+    return docs.select("doc_id", X.bind(X.nonempty_lines(F.col("text")), of).alias("blocks"))
 
 
 def lines_of(blocks: Column) -> Column:
@@ -157,14 +154,15 @@ def plain_pairs(ls: Column) -> Column:
     return D.suffixed(F.filter(rows, lambda p: (p["key"] != "") & (p["value"] != "")))
 
 
-def cv(rows: DataFrame) -> DataFrame:
-    """(doc_id, data)."""
+def cv(rows: DataFrame, parts: Sequence[str] | None = None) -> DataFrame:
+    """(doc_id, data); ``parts`` names the parts to compute, all without it."""
     b = F.col("blocks")
     r = rows.withColumn("ls", lines_of(b)).withColumn("head", header(F.col("ls"))).withColumn("name", person_name(F.col("head")))
-    return r.select("doc_id", F.struct(
-        F.lit("cv").alias("document_type"), F.struct("name", headline(F.col("head"), F.col("name")).alias("headline")).alias("person"), contact(F.col("ls"), b).alias("contact"),
-        section_text(b, "summary_section").alias("summary"), section_items(b, "skills_section").alias("skills"), entries(section_lines(b, "experience_section"), False).alias("experience"),
-        entries(section_lines(b, "education_section"), True).alias("education"), section_items(b, "languages_section").alias("languages"), strengths(b).alias("strengths")).alias("data"))
+    made = {
+        "person": lambda: F.struct("name", headline(F.col("head"), F.col("name")).alias("headline")), "contact": lambda: contact(F.col("ls"), b), "summary": lambda: section_text(b, "summary_section"),
+        "skills": lambda: section_items(b, "skills_section"), "experience": lambda: entries(section_lines(b, "experience_section"), False), "education": lambda: entries(section_lines(b, "education_section"), True),
+        "languages": lambda: section_items(b, "languages_section"), "strengths": lambda: strengths(b)}
+    return r.select("doc_id", F.struct(F.lit("cv").alias("document_type"), *[make().alias(name) for name, make in made.items() if parts is None or name in parts]).alias("data"))
 
 
 def invoice(rows: DataFrame) -> DataFrame:

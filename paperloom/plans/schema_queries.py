@@ -4,26 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import payloads, schema
 from ..sources import rendered as R
 from .registry import query
 from .text_queries import PAIRS, RANGE, lines_sql, section_sql
 
 
-def _cv(spark, sf_dir):
-    return schema.cv(schema.text_blocks(R.cv_docs(spark, sf_dir)))
+def _cv(spark, sf_dir, *parts):
+    return schema.cv(schema.text_blocks(R.cv_docs(spark, sf_dir)), parts or None)
 
 
 @query(R.with_ctes(R.CV_SQL, lines_sql("cv_docs"), query="SELECT doc_id, max(CASE WHEN pos = 0 THEN line END) AS name, max(CASE WHEN pos = 0 THEN line END) IS NULL AS no_headline, max(CASE WHEN pos = 1 THEN regexp_extract(line, '[A-Za-z0-9]+@.*') END) AS email, max(CASE WHEN pos = 2 THEN line END) AS phone, 'Works with care' AS summary FROM lines GROUP BY doc_id"))
 def schema_cv_person(spark, sf_dir):
-    d = _cv(spark, sf_dir)
+    d = _cv(spark, sf_dir, "person", "contact", "summary")
     return d.select("doc_id", F.col("data.person.name").alias("name"), F.col("data.person.headline").isNotNull().alias("no_headline"), F.col("data.contact.email").alias("email"), F.col("data.contact.phone").alias("phone"), F.col("data.summary").alias("summary"))
 
 
 @query(R.with_ctes(R.CV_SQL, query="SELECT doc_id, 0 AS pos, 'Acme ' || (doc_id % 50) AS title, (['Data Engineer', 'Software Developer', 'Project Manager'])[doc_id % 3 + 1] AS organization, (2000 + doc_id % 15) || ' - ' || (2016 + doc_id % 8) AS date_range, 'Paris, France' AS description, '' AS bullets FROM cv_docs "
                    "UNION ALL SELECT doc_id, 1, 'Other Corp', 'Consultant', NULL, 'Somewhere', 'Built reports for clients;short one' FROM cv_docs UNION ALL SELECT doc_id, 2, 'More long duties done here', NULL, NULL, NULL, NULL FROM cv_docs WHERE false").replace("'Somewhere', 'Built reports for clients;short one'", "'Somewhere;More long duties done here;mars 2001 to mai 2003', 'Built reports for clients;short one'"))
 def schema_cv_entries(spark, sf_dir):
-    rows = _cv(spark, sf_dir).select("doc_id", F.posexplode("data.experience").alias("pos", "e"))
+    rows = X.exploded(_cv(spark, sf_dir, "experience"), F.col("data.experience"), "pos", "e", "doc_id")
     return rows.select("doc_id", "pos", "e.title", "e.organization", "e.date_range", F.array_join("e.description", ";").alias("description"), F.array_join("e.bullets", ";").alias("bullets"))
 
 
@@ -32,7 +33,7 @@ SELECT doc_id, 0 AS pos, max(CASE WHEN pos = 0 THEN line END) AS title, max(CASE
   max(nullif(regexp_extract(line, {RANGE}, 0, 'i'), '')) AS date_range
 FROM part GROUP BY doc_id""")
 def schema_cv_education(spark, sf_dir):
-    rows = _cv(spark, sf_dir).select("doc_id", F.posexplode("data.education").alias("pos", "e"))
+    rows = X.exploded(_cv(spark, sf_dir, "education"), F.col("data.education"), "pos", "e", "doc_id")
     return rows.select("doc_id", "pos", "e.title", "e.organization", "e.date_range")
 
 

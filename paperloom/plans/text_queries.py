@@ -307,36 +307,42 @@ def _cv_parts(spark, sf_dir):
     return exports.cv(R.cv_docs(spark, sf_dir))
 
 
+def _cv_rows(spark, sf_dir, part, *inner):
+    """(doc_id, pos, x) of one part's entries; the other parts are not computed."""
+    return X.exploded(exports.cv(R.cv_docs(spark, sf_dir), (part,)), F.col(".".join(("data", part, *inner))), "pos", "x", "doc_id")
+
+
 @query(R.with_ctes(R.CV_SQL, lines_sql("cv_docs"), query="SELECT doc_id, max(CASE WHEN pos = 0 THEN line END) AS name, max(CASE WHEN pos = 1 THEN regexp_extract(line, '[A-Za-z0-9]+@.*') END) AS email, max(CASE WHEN pos = 2 THEN substr(line, 7) END) AS phone FROM lines GROUP BY doc_id"))
 def cv_contact(spark, sf_dir):
-    return _cv_parts(spark, sf_dir).select("doc_id", F.col("data.personal_info.name").alias("name"), F.col("data.personal_info.contact.email").alias("email"), F.col("data.personal_info.contact.phone").alias("phone"))
+    return exports.cv(R.cv_docs(spark, sf_dir), ("personal_info",)).select("doc_id", F.col("data.personal_info.name").alias("name"), F.col("data.personal_info.contact.email").alias("email"), F.col("data.personal_info.contact.phone").alias("phone"))
 
 
 @query(R.with_ctes(R.CV_SQL, lines_sql("cv_docs"), r"sk AS (SELECT doc_id, line FROM lines l WHERE pos = (SELECT min(pos) + 1 FROM lines k WHERE k.doc_id = l.doc_id AND k.line = 'Skills')), parts AS (SELECT doc_id, unnest(regexp_split_to_array(line, '\s{2,}|[;,|]')) AS p FROM sk)",
                    query="SELECT doc_id, lower(trim(p)) AS skill FROM parts WHERE trim(p) <> '' GROUP BY ALL"))
 def cv_skills(spark, sf_dir):
-    return _cv_parts(spark, sf_dir).select("doc_id", F.explode(F.map_keys("data.skills")).alias("skill"))
+    parts = exports.cv(R.cv_docs(spark, sf_dir), ("skills",))
+    return X.exploded(parts, F.map_keys("data.skills"), "_i", "skill", "doc_id").drop("_i")
 
 
 @query(R.with_ctes(R.CV_SQL, query="SELECT doc_id, CAST(i - 1 AS INT) AS pos, n AS name, l AS level FROM cv_docs, (VALUES (1, 'French', 'native'), (2, 'English', 'fluent'), (3, 'German', 'basic')) v(i, n, l)"))
 def cv_languages(spark, sf_dir):
-    return _cv_parts(spark, sf_dir).select("doc_id", F.posexplode("data.languages").alias("pos", "x")).select("doc_id", "pos", "x.name", "x.level")
+    return _cv_rows(spark, sf_dir, "languages").select("doc_id", "pos", "x.name", "x.level")
 
 
 @query(R.with_ctes(R.CV_SQL, query="SELECT doc_id, CAST(i - 1 AS INT) AS pos, n AS name, l AS provider FROM cv_docs, (VALUES (1, 'Cloud Expert', 'Big Vendor'), (2, 'Scrum Master', 'Org')) v(i, n, l)"))
 def cv_certifications(spark, sf_dir):
-    return _cv_parts(spark, sf_dir).select("doc_id", F.posexplode("data.certifications").alias("pos", "x")).select("doc_id", "pos", "x.name", "x.provider")
+    return _cv_rows(spark, sf_dir, "certifications").select("doc_id", "pos", "x.name", "x.provider")
 
 
 @query(R.with_ctes(R.CV_SQL, query="SELECT doc_id, CAST(0 AS INT) AS pos, 'Pipeline' AS name, 'Moves data daily Second' AS description FROM cv_docs"))
 def cv_projects(spark, sf_dir):
-    return _cv_parts(spark, sf_dir).select("doc_id", F.posexplode("data.projects").alias("pos", "x")).select("doc_id", "pos", "x.name", "x.description")
+    return _cv_rows(spark, sf_dir, "projects").select("doc_id", "pos", "x.name", "x.description")
 
 
 @query(R.with_ctes(R.CV_SQL, query="SELECT doc_id, 0 AS pos, 'Acme ' || (doc_id % 50) AS company, (['Data Engineer', 'Software Developer', 'Project Manager'])[doc_id % 3 + 1] AS position, 'Paris, France' AS location, (2000 + doc_id % 15) || ' - ' || (2016 + doc_id % 8) AS dates, '' AS responsibilities FROM cv_docs "
                    "UNION ALL SELECT doc_id, 1, 'Other Corp', 'Consultant', NULL, '', '- Built reports for clients' FROM cv_docs UNION ALL SELECT doc_id, 2, 'More long duties done here', NULL, NULL, 'mars 2001 to mai 2003', '' FROM cv_docs"))
 def cv_work(spark, sf_dir):
-    rows = _cv_parts(spark, sf_dir).select("doc_id", F.posexplode("data.work_experience").alias("pos", "x"))
+    rows = _cv_rows(spark, sf_dir, "work_experience")
     return rows.select("doc_id", "pos", "x.company", "x.position", "x.location", F.array_join("x.dates", ";").alias("dates"), F.array_join("x.responsibilities", ";").alias("responsibilities"))
 
 
@@ -355,7 +361,7 @@ SELECT doc_id, 0 AS pos, max(CASE WHEN pos = 0 THEN line END) AS name, max(CASE
   coalesce(string_agg(regexp_extract(line, '[0-9]{4}'), ';' ORDER BY pos) FILTER (WHERE regexp_matches(line, '[0-9]{4}')), '') AS dates
 FROM part GROUP BY doc_id""")
 def cv_education(spark, sf_dir):
-    rows = _cv_parts(spark, sf_dir).select("doc_id", F.posexplode("data.education.formation").alias("pos", "x"))
+    rows = _cv_rows(spark, sf_dir, "education", "formation")
     return rows.select("doc_id", "pos", "x.name", "x.university", F.array_join("x.dates", ";").alias("dates"))
 
 
