@@ -21,16 +21,19 @@ def _corners(b: Column) -> Column:
 
 def modern_lines(payload: Column) -> Column:
     """Lines of a payload of parallel arrays; missing scores are 0, a polygon of under four points is the box, a missing box that of the polygon."""
-    p = F.from_json(payload, MODERN)
+    def lines_(p: Column) -> Column:
+        def line(text: Column, i: Column) -> Column:
+            def of(poly: Column, whole: Column, box: Column) -> Column:
+                return F.struct(F.trim(text).alias("text"), G.confidence(F.get(p["rec_scores"], i)).alias("confidence"), F.when(whole, F.slice(poly, 1, 4)).otherwise(_corners(box)).alias("polygon"),
+                                box["x1"].alias("x1"), box["y1"].alias("y1"), box["x2"].alias("x2"), box["y2"].alias("y2"))
 
-    def line(text: Column, i: Column) -> Column:
-        poly = F.transform(F.get(p["rec_polys"], i), lambda q: F.struct(F.get(q, F.lit(0)).alias("x"), F.get(q, F.lit(1)).alias("y")))
-        whole = F.coalesce(F.size(poly) >= 4, F.lit(False))
-        box = F.coalesce(G.from_any(F.get(p["rec_boxes"], i)), F.when(whole, G.of_polygon(poly)))
-        return F.struct(F.trim(text).alias("text"), G.confidence(F.get(p["rec_scores"], i)).alias("confidence"), F.when(whole, F.slice(poly, 1, 4)).otherwise(_corners(box)).alias("polygon"),
-                        box["x1"].alias("x1"), box["y1"].alias("y1"), box["x2"].alias("x2"), box["y2"].alias("y2"))
+            points = F.transform(F.get(p["rec_polys"], i), lambda q: F.struct(F.get(q, F.lit(0)).alias("x"), F.get(q, F.lit(1)).alias("y")))
+            return X.bind(points, lambda poly: X.bind(F.coalesce(F.size(poly) >= 4, F.lit(False)), lambda whole: X.bind(
+                F.coalesce(X.bind(F.get(p["rec_boxes"], i), G.from_any), F.when(whole, G.of_polygon(poly))), lambda box: of(poly, whole, box))))
 
-    return F.filter(F.transform(p["rec_texts"], line), lambda x: (x["text"] != "") & x["x1"].isNotNull())
+        return F.filter(F.transform(p["rec_texts"], line), lambda x: (x["text"] != "") & x["x1"].isNotNull())
+
+    return X.bind(F.from_json(payload, MODERN), lines_)
 
 
 def legacy_lines(payload: Column) -> Column:
@@ -38,10 +41,11 @@ def legacy_lines(payload: Column) -> Column:
     rows = F.from_json(payload, "array<array<string>>")
 
     def line(row: Column) -> Column:
-        poly = F.transform(F.from_json(F.get(row, F.lit(0)), "array<array<double>>"), lambda q: F.struct(F.get(q, F.lit(0)).alias("x"), F.get(q, F.lit(1)).alias("y")))
-        said = F.from_json(F.get(row, F.lit(1)), "array<string>")
-        box = G.of_polygon(poly)
-        return F.struct(F.trim(F.get(said, F.lit(0))).alias("text"), G.confidence(F.get(said, F.lit(1)).try_cast("double")).alias("confidence"), poly.alias("polygon"), box["x1"].alias("x1"), box["y1"].alias("y1"), box["x2"].alias("x2"), box["y2"].alias("y2"))
+        def of(poly: Column, said: Column, box: Column) -> Column:
+            return F.struct(F.trim(F.get(said, F.lit(0))).alias("text"), G.confidence(F.get(said, F.lit(1)).try_cast("double")).alias("confidence"), poly.alias("polygon"), box["x1"].alias("x1"), box["y1"].alias("y1"), box["x2"].alias("x2"), box["y2"].alias("y2"))
+
+        points = X.bind(F.from_json(F.get(row, F.lit(0)), "array<array<double>>"), lambda qs: F.transform(qs, lambda q: F.struct(F.get(q, F.lit(0)).alias("x"), F.get(q, F.lit(1)).alias("y"))))
+        return X.bind(points, lambda poly: X.bind(F.from_json(F.get(row, F.lit(1)), "array<string>"), lambda said: X.bind(G.of_polygon(poly), lambda box: of(poly, said, box))))
 
     return F.filter(F.transform(rows, line), lambda x: (x["text"] != "") & x["x1"].isNotNull())
 
