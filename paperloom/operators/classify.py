@@ -1,7 +1,6 @@
 """Document type, language and direction from text, by keyword and script counts.
 
-Keywords are literals of the expression, so a table of texts is scored in one
-pass without a join; nothing shuffles.
+Keywords are looked for in one pass without a join; nothing shuffles.
 """
 
 from __future__ import annotations
@@ -12,22 +11,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions import plain as A
 from ..functions import text as X
 
 TYPES = tuple(P.TYPE_KEYWORDS)
 
 
-def hits(low: Column, doc_type: str) -> Column:
-    """How many of a type's keywords a lower-cased text contains; a keyword listed twice counts twice."""
-    times = Counter(k.lower() for k in P.TYPE_KEYWORDS[doc_type])
-    return sum((F.when(F.contains(low, F.lit(k)), n).otherwise(0) for k, n in times.items()), F.lit(0))
+#: every keyword in lower case, once; and of each type, which of them count and how often: a keyword listed twice counts twice
+WORDS = tuple(dict.fromkeys(k.lower() for ks in P.TYPE_KEYWORDS.values() for k in ks))
+TIMES = {t: tuple((WORDS.index(k), n) for k, n in Counter(k.lower() for k in ks).items()) for t, ks in P.TYPE_KEYWORDS.items()}
+
+
+def keyword_hits(low: Column) -> Column:
+    """How many of each type's keywords a lower-cased text contains, as an array in the order of the types; texts are searched in batches."""
+    rows = tuple(TIMES[t] for t in TYPES)
+
+    def count(text: str) -> list[int]:
+        said = [w in text for w in WORDS]
+        return [sum(n for at, n in row if said[at]) for row in rows]
+
+    return A.batch("array<int>", count)(low)
 
 
 def _scores(text: Column, more: dict[str, Column] | None = None) -> Column:
     """(hits, -order, type) of every type, as an array; ``more`` is added to the hits."""
-    more = more or {}
-    return X.bind(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.array(*[
-        F.struct((hits(low, t).cast("double") + more.get(t, F.lit(0.0))).alias("hits"), F.lit(-i).alias("o"), F.lit(t).alias("type")) for i, t in enumerate(TYPES)]))
+    more, found = more or {}, keyword_hits(F.lower(F.coalesce(text, F.lit(""))))
+    return F.array(*[F.struct((F.get(found, F.lit(i)).cast("double") + more.get(t, F.lit(0.0))).alias("hits"), F.lit(-i).alias("o"), F.lit(t).alias("type")) for i, t in enumerate(TYPES)])
 
 
 def _total(scores: Column) -> Column:
@@ -60,13 +69,12 @@ def document_type(docs: DataFrame, *, floor: float | None = None, visual: dict[s
 
 def evidence(docs: DataFrame, most: int = 8) -> DataFrame:
     """(doc_id, doc_type, pos, keyword): the first keywords of each type that the text contains."""
-    low = F.lower(F.coalesce("text", F.lit("")))
-
-    def of(low: Column) -> Column:
-        said = lambda k: F.when(F.contains(low, F.lit(k.lower())), F.lit(k))
-        return F.array(*[F.struct(F.lit(t).alias("doc_type"), F.slice(F.array_compact(F.array(*map(said, P.TYPE_KEYWORDS[t]))), 1, most).alias("k")) for t in TYPES])
+    def said(text: str) -> list[tuple[str, int, str]]:
+        held = {w for w in WORDS if w in text}
+        return [(t, n, k) for t in TYPES for n, k in enumerate([k for k in P.TYPE_KEYWORDS[t] if k.lower() in held][:most])]
 
-    return X.exploded(X.exploded(docs, X.bind(low, of), "_i", "_r", "doc_id").select("doc_id", "_r.*"), F.col("k"), "pos", "keyword", "doc_id", "doc_type")
+    found = A.batch("array<struct<doc_type:string,pos:int,keyword:string>>", said)(F.lower(F.coalesce("text", F.lit(""))))
+    return X.exploded(docs.select("doc_id", found.alias("k")), F.col("k"), "_i", "_r", "doc_id").select("doc_id", "_r.*")
 
 
 def override(docs: DataFrame, types: DataFrame, tables: Column) -> DataFrame:
