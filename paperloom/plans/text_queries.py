@@ -116,7 +116,7 @@ def date_extract(spark, sf_dir):
 
 @query(R.with_ctes(R.INVOICE_SQL, PAIRS, query=f"SELECT doc_id, pos, {number_sql('value')} AS number FROM kv"))
 def number_parse(spark, sf_dir):
-    return fields.key_values(R.invoice_docs(spark, sf_dir), repeats="all").select("doc_id", "pos", X.number(F.col("value")).alias("number"))
+    return fields.numbers(R.invoice_docs(spark, sf_dir))
 
 
 def ordered_distinct_sql(docs: str) -> str:
