@@ -264,8 +264,11 @@ def factual_summary(spark, sf_dir):
 
 
 def _candidate_lines(spark, sf_dir):
-    rows = fields.lines(R.invoice_docs(spark, sf_dir))
-    return rows.select("doc_id", F.lit(1).alias("page"), "pos", "line", F.when(F.col("pos") % 11 == 10, 0.6).otherwise(0.9).alias("confidence"), F.when(F.contains("line", F.lit("|")), "table_section").otherwise("paragraph").alias("block_type"))
+    """(doc_id, ls): the lines of invoices as recognised blocks have them."""
+    def line(x, i):
+        return F.struct(F.lit(1).alias("page"), i.cast("int").alias("pos"), x.alias("line"), F.when(i % 11 == 10, 0.6).otherwise(0.9).alias("confidence"), F.when(F.contains(x, F.lit("|")), "table_section").otherwise("paragraph").alias("block_type"))
+
+    return R.invoice_docs(spark, sf_dir).select("doc_id", F.transform(X.nonempty_lines(F.col("text")), line).alias("ls"))
 
 
 ALL = "unnest(regexp_extract_all(line, '{p}')) AS value, generate_subscripts(regexp_extract_all(line, '{p}'), 1) AS k"
@@ -295,12 +298,12 @@ CAND = (lines_sql("invoice_docs") + ", kept AS (SELECT * FROM lines WHERE pos %
 
 @query(R.with_ctes(R.INVOICE_SQL, CAND, query="SELECT doc_id, pos, field, value, kind, source FROM ranked WHERE n = 1"))
 def regex_candidates(spark, sf_dir):
-    return fields.candidates(_candidate_lines(spark, sf_dir)).select("doc_id", "pos", "field", "value", "kind", "source")
+    return fields.document_candidates(_candidate_lines(spark, sf_dir)).select("doc_id", "pos", "field", "value", "kind", "source")
 
 
 @query(None)
 def candidates_normalised(spark, sf_dir):
-    return fields.candidates(_candidate_lines(spark, sf_dir))
+    return fields.document_candidates(_candidate_lines(spark, sf_dir))
 
 
 def _cv_parts(spark, sf_dir):
