@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 BLOCK = 2048
+#: vectors compared with a block at a time: a whole Arrow batch takes some 160 MB for each array of scores, ids and order
+ROWS = 512
 
 
 def normalised(v: Column) -> Column:
@@ -59,6 +61,24 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(n == 0, 1.0, n)
 
 
+def nearest(parts, ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of each query's best ``k`` of all parts (ids, vectors), ``ROWS`` vectors at a time."""
+    best_id, best = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+    for part_ids, part in parts:
+        for at in range(0, len(part), ROWS):
+            kept = [(i, v) for i, v in zip(part_ids[at:at + ROWS], part[at:at + ROWS]) if v is not None and len(v) == q.shape[1]]
+            if not kept:
+                continue
+            own = np.array([i for i, _ in kept], np.int64)
+            scores = np.round(q @ _unit(np.stack([v for _, v in kept]).astype(float)).T, 9)
+            scores[ids[:, None] == own[None, :]] = -np.inf
+            # what is kept so far and these, brought down to k again
+            best_id, best = np.hstack([best_id, np.broadcast_to(own, scores.shape)]), np.hstack([best, scores])
+            order = np.lexsort((best_id, -best), axis=1)[:, :k]
+            best_id, best = np.take_along_axis(best_id, order, 1), np.take_along_axis(best, order, 1)
+    return best_id, best
+
+
 def _block_top_k(vectors: DataFrame, block: list, k: int, id_col: str, vector_col: str) -> DataFrame:
     size = len(block[0][1])
     kept = [(i, v) for i, v in block if len(v) == size]
@@ -67,19 +87,7 @@ def _block_top_k(vectors: DataFrame, block: list, k: int, id_col: str, vector_co
 
     def run(parts):
         ids, q = sent.value
-        n = len(ids)
-        best_id, best = np.zeros((n, 0), np.int64), np.zeros((n, 0))
-        for pdf in parts:
-            pdf = pdf[[v is not None and len(v) == q.shape[1] for v in pdf[vector_col]]]
-            if not len(pdf):
-                continue
-            own = pdf[id_col].to_numpy(np.int64)
-            scores = np.round(q @ _unit(np.stack(pdf[vector_col].to_numpy()).astype(float)).T, 9)
-            scores[ids[:, None] == own[None, :]] = -np.inf
-            # what the task has kept so far and this batch, brought down to k again
-            best_id, best = np.hstack([best_id, np.broadcast_to(own, scores.shape)]), np.hstack([best, scores])
-            order = np.lexsort((best_id, -best), axis=1)[:, :k]
-            best_id, best = np.take_along_axis(best_id, order, 1), np.take_along_axis(best, order, 1)
+        best_id, best = nearest(((pdf[id_col], pdf[vector_col]) for pdf in parts), ids, q, k)
         out = pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "id": best_id.ravel(), "score": best.ravel()})
         yield out[np.isfinite(out["score"])]
 
