@@ -139,12 +139,13 @@ def section_list(sections: Column, labels: Sequence[str]) -> Column:
 def contact(lines: Column) -> Column:
     """phone, email, skype and urls of a document.
 
-    The phone is the first number written as one; only without any it is the first run
-    of digits that could be one, so that no number of an invoice, a client or a mail
+    The phone is the first number written as one, with a plus or in parted groups; only
+    without any it is the first of nine digits or more, and only without that the first
+    run of digits that could be one, so that no number of an invoice, a client or a mail
     address comes before it.
     """
     return X.bind(F.array_join(lines, "\n"), lambda text: F.struct(
-        F.coalesce(X.first_match(P.PHONE_ALONE, text), X.first_match(P.PHONE, text)).alias("phone"), X.first_match(P.EMAIL, text).alias("email"), line_containing(lines, ("skype",)).alias("skype"),
+        F.coalesce(*[X.first_match(p, text) for p in (P.PHONE_WRITTEN, P.PHONE_DIGITS, P.PHONE)]).alias("phone"), X.first_match(P.EMAIL, text).alias("email"), line_containing(lines, ("skype",)).alias("skype"),
         X.unique(X.all_matches(P.URL, text)).alias("urls")))
 
 

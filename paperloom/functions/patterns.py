@@ -9,8 +9,10 @@ from __future__ import annotations
 
 EMAIL = r"(?U)[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}"
 PHONE = r"(?:\+\d{1,3}[\s.-]?)?(?:\(?\d{2,4}\)?[\s.-]?){2,}\d{2,4}"
-#: a number that stands by itself on its line and is written as a telephone's: with a plus, in parted groups, or of nine digits or more
-PHONE_ALONE = r"(?<![\p{L}\p{N}_@.+/-])(?=\+|[(\d]\d{1,3}\)?[ \t.-]|\d{9})(?:\+\d{1,3}[ \t.-]?)?(?:\(?\d{2,4}\)?[ \t.-]?){2,}\d{2,4}(?![\p{L}\p{N}_@])"
+#: a number that stands by itself on its line and is written as a telephone's: with a plus or in parted groups
+PHONE_WRITTEN = r"(?<![\p{L}\p{N}_@.+/-])(?=\+|[(\d]\d{1,3}\)?[ \t.-])(?:\+\d{1,3}[ \t.-]?)?(?:\(?\d{2,4}\)?[ \t.-]?){2,}\d{2,4}(?![\p{L}\p{N}_@])"
+#: such a number of nine digits or more, which could be a key as well
+PHONE_DIGITS = PHONE_WRITTEN.replace(r"(?=\+|[(\d]\d{1,3}\)?[ \t.-])", r"(?=\d{9})")
 URL = r"(?U)(?:https?://)?(?:www\.)[\w.-]+\.[A-Za-z]{2,}\S*"
 MONTHS = ("janvier|février|fevrier|mars|avril|mai|juin|juillet|août|aout|septembre|octobre|novembre|décembre|decembre|"
           "january|february|march|april|may|june|july|august|september|october|november|december")
