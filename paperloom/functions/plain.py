@@ -20,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
 from . import patterns as P
+from . import text as X
 
 #: distinct lines, keys and values that a memo holds
 MEMO = 20_000
@@ -72,9 +73,13 @@ def lines(text: str) -> list[str]:
     return [y for x in text.splitlines() if (y := x.strip())]
 
 
+_FOLDED = str.maketrans(X._MARKED, X._PLAIN)
+
+
 @lru_cache(MEMO)
 def norm(text: str) -> str:
-    return _NO_WORD.sub(" ", text.lower()).strip(" ")
+    low = text.lower()
+    return _NO_WORD.sub(" ", low if low.isascii() else low.translate(_FOLDED)).strip(" ")
 
 
 def pairs(ls: Iterable[str]) -> list[tuple[str, str, int]]:

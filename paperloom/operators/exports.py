@@ -1,6 +1,7 @@
 """Typed exports of whole documents: curricula, invoices, generic ones; long-form fields (doc_id, path, value) or JSON.
 
-Each is one projection over the lines of a document in its row.
+Each is one projection over the lines of a document in its row.  The ``*_data`` functions
+are expressions of any text; the exports take texts of ASCII and Latin-1's letters in batches.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import documents as D
 from ..functions import patterns as P
 from ..functions import text as X
+from ..functions import whole as B
 from .fields import pipe_table, table_items
 
 def education(sections: Column) -> Column:
@@ -115,10 +117,16 @@ def _parties(ls: Column, kv: Column) -> dict[str, Column]:
                                 D.account_number(ls).alias("account_number"), due.alias("due_date"))}
 
 
+def parties_data(text: Column) -> Column:
+    """An invoice's vendor, client and payment as a struct, without its items and totals."""
+    b = X.bind(X.nonempty_lines(text), lambda ls: F.struct(ls.alias("ls"), D.last_wins(D.pairs(ls)).alias("kv")))
+    return X.bind(b, lambda x: F.struct(*[c.alias(n) for n, c in _parties(x["ls"], x["kv"]).items()]))
+
+
 def invoice_parties(docs: DataFrame) -> DataFrame:
     """(doc_id, vendor, client, payment) of invoices, without their items and totals."""
-    split = docs.select("doc_id", X.bind(X.nonempty_lines(F.col("text")), lambda ls: F.struct(ls.alias("ls"), D.last_wins(D.pairs(ls)).alias("kv"))).alias("b"))
-    return split.select("doc_id", *(c.alias(n) for n, c in _parties(F.col("b.ls"), F.col("b.kv")).items()))
+    kinds = {k: INVOICE_TYPES[k] for k in ("vendor", "client", "payment")}
+    return docs.select("doc_id", B.of_latin(F.col("text"), _struct(kinds), B.invoice_parties, parties_data).alias("p")).select("doc_id", "p.*")
 
 
 def sections_by_name(rows: Column) -> Column:
@@ -138,19 +146,49 @@ def generic_data(text: Column) -> Column:
         sections_by_name(D.labelled_sections(ls)).alias("sections"), F.filter(F.array(pipe_table(ls)), lambda t: F.size(t) > 0).alias("tables")))
 
 
+_CONTACT = "struct<phone:string,email:string,skype:string,urls:array<string>>"
+CV_TYPES = {
+    "personal_info": f"struct<name:string,contact:{_CONTACT},hobbies:array<string>>", "education": "struct<formation:array<struct<name:string,university:string,dates:array<string>>>>",
+    "work_experience": "array<struct<company:string,position:string,location:string,dates:array<string>,responsibilities:array<string>>>", "skills": "map<string,boolean>",
+    "languages": "array<struct<name:string,level:string>>", "certifications": "array<struct<name:string,provider:string>>", "projects": "array<struct<name:string,description:string>>",
+}
+INVOICE_TYPES = {
+    "vendor": "struct<name:string,attention_of:string>", "client": "struct<phone:string,email:string,address:struct<street:string,city:string>>",
+    "items": "array<struct<description:string,price:double,quantity:double,total:double>>", "totals": "struct<subtotal:double,tax:double,total:double>",
+    "payment": "struct<method:string,conditions:string,account_number:string,due_date:string>",
+}
+GENERIC_TYPES = {"title": "string", "contacts": _CONTACT, "dates": "array<string>", "amounts": "array<string>", "key_values": "map<string,string>", "sections": "map<string,array<string>>", "tables": "array<array<array<string>>>"}
+
+
+def _struct(kinds: dict[str, str]) -> str:
+    return "struct<" + ",".join(f"{name}:{kind}" for name, kind in kinds.items()) + ">"
+
+
+def _cv(text: Column, parts: Sequence[str] | None = None, where: Column | None = None) -> Column:
+    return B.of_latin(text, _struct({k: v for k, v in CV_TYPES.items() if parts is None or k in parts}), lambda t: B.cv(t, parts), lambda t: cv_data(t, parts), where)
+
+
+def _invoice(text: Column, where: Column | None = None) -> Column:
+    return B.of_latin(text, _struct(INVOICE_TYPES), B.invoice, invoice_data, where)
+
+
+def _generic(text: Column, where: Column | None = None) -> Column:
+    return B.of_latin(text, _struct(GENERIC_TYPES), B.generic, generic_data, where)
+
+
 def cv(docs: DataFrame, parts: Sequence[str] | None = None) -> DataFrame:
     """(doc_id, data); ``parts`` names the parts to compute, all without it."""
-    return docs.select("doc_id", cv_data(F.col("text"), parts).alias("data"))
+    return docs.select("doc_id", _cv(F.col("text"), parts).alias("data"))
 
 
 def invoice(docs: DataFrame) -> DataFrame:
     """(doc_id, data)."""
-    return docs.select("doc_id", invoice_data(F.col("text")).alias("data"))
+    return docs.select("doc_id", _invoice(F.col("text")).alias("data"))
 
 
 def generic(docs: DataFrame) -> DataFrame:
     """(doc_id, data)."""
-    return docs.select("doc_id", generic_data(F.col("text")).alias("data"))
+    return docs.select("doc_id", _generic(F.col("text")).alias("data"))
 
 
 def as_json(found: DataFrame) -> DataFrame:
@@ -161,5 +199,6 @@ def as_json(found: DataFrame) -> DataFrame:
 def route(docs: DataFrame) -> DataFrame:
     """(doc_id, doc_type, json): each document's export by its doc_type: cv, invoice, or any other.  One pass; only the fitting branch is computed."""
     text, kind = F.col("text"), F.col("doc_type")
-    return docs.select("doc_id", F.when(kind == "cv", "CV").when(kind == "invoice", "invoice").otherwise("generic").alias("doc_type"),
-                       F.when(kind == "cv", F.to_json(cv_data(text))).when(kind == "invoice", F.to_json(invoice_data(text))).otherwise(F.to_json(generic_data(text))).alias("json"))
+    cv_, invoice_ = F.coalesce(kind == "cv", F.lit(False)), F.coalesce(kind == "invoice", F.lit(False))
+    json = F.when(cv_, F.to_json(_cv(text, where=cv_))).when(invoice_, F.to_json(_invoice(text, invoice_))).otherwise(F.to_json(_generic(text, ~cv_ & ~invoice_)))
+    return docs.select("doc_id", F.when(cv_, "CV").when(invoice_, "invoice").otherwise("generic").alias("doc_type"), json.alias("json"))

@@ -2,7 +2,9 @@
 
 Input rows are (doc_id, blocks), blocks being an array, in reading order, of
 struct(block_type, lines array<string>, confidence).  ``text_blocks`` makes them
-from plain text.  Everything is an expression over the row.
+from plain text.  Everything is an expression over the row; ``cv_of_texts`` and
+``invoice_of_texts`` give what the blocks of plain texts give, and take texts of
+ASCII and Latin-1's letters in batches.
 """
 
 from __future__ import annotations
@@ -15,13 +17,14 @@ from pyspark.sql import functions as F
 from ..functions import documents as D
 from ..functions import patterns as P
 from ..functions import text as X
+from ..functions import whole as B
 
 BLOCKS = "array<struct<block_type:string,lines:array<string>,confidence:double>>"
 ENTRY = "struct<title:string,organization:string,date_range:string,location:string,description:array<string>,bullets:array<string>>"
 
 
-def text_blocks(docs: DataFrame) -> DataFrame:
-    """(doc_id, blocks): a line that names a section opens a block of that section's type; what comes before is a paragraph."""
+def blocks_of(text: Column) -> Column:
+    """A line that names a section opens a block of that section's type; what comes before is a paragraph."""
     types = F.create_map(*[F.lit(x) for kv in P.SECTION_TYPES.items() for x in kv])
 
     def block(head: Column, first: Column, said: Column, is_head: Column) -> Column:
@@ -31,7 +34,12 @@ def text_blocks(docs: DataFrame) -> DataFrame:
     def of(ls: Column) -> Column:
         return F.filter(D.stretches(ls, X.is_section_heading, block), lambda b: F.size(b["lines"]) > 0)
 
-    return docs.select("doc_id", X.bind(X.nonempty_lines(F.col("text")), of).alias("blocks"))
+    return X.bind(X.nonempty_lines(text), of)
+
+
+def text_blocks(docs: DataFrame) -> DataFrame:
+    """(doc_id, blocks) of plain texts."""
+    return docs.select("doc_id", blocks_of(F.col("text")).alias("blocks"))
 
 
 def lines_of(blocks: Column) -> Column:
@@ -154,28 +162,65 @@ def plain_pairs(ls: Column) -> Column:
     return D.suffixed(F.filter(rows, lambda p: (p["key"] != "") & (p["value"] != "")))
 
 
+def cv_data(b: Column, parts: Sequence[str] | None = None) -> Column:
+    """A curriculum's schema as a struct; all of its parts, or those named."""
+    def of(ls: Column, head: Column, name: Column) -> Column:
+        made = {
+            "person": lambda: F.struct(name.alias("name"), headline(head, name).alias("headline")), "contact": lambda: contact(ls, b), "summary": lambda: section_text(b, "summary_section"),
+            "skills": lambda: section_items(b, "skills_section"), "experience": lambda: entries(section_lines(b, "experience_section"), False), "education": lambda: entries(section_lines(b, "education_section"), True),
+            "languages": lambda: section_items(b, "languages_section"), "strengths": lambda: strengths(b)}
+        return F.struct(F.lit("cv").alias("document_type"), *[make().alias(name) for name, make in made.items() if parts is None or name in parts])
+
+    return X.bind(lines_of(b), lambda ls: X.bind(header(ls), lambda head: X.bind(person_name(head), lambda name: of(ls, head, name))))
+
+
+def invoice_data(b: Column, parts: Sequence[str] | None = None) -> Column:
+    """An invoice's schema as a struct; all of its parts, or those named."""
+    def of(ls: Column, kv: Column) -> Column:
+        key = lambda *names: D.first_key(kv, names)
+        made = {
+            "invoice_number": lambda: key("invoice no", "invoice number", "invoice", "inv"), "issue_date": lambda: key("date", "issue date", "invoice date"), "due_date": lambda: key("due date"),
+            "seller": lambda: party(ls, ("from", "seller", "vendor", "supplier")), "buyer": lambda: party(ls, ("billed to", "bill to", "customer", "client")), "line_items": lambda: section_lines(b, "table_section", "invoice_items_section"),
+            "totals": lambda: F.struct(key("subtotal", "sub total").alias("subtotal"), key("tax", "vat", "gst", "hst").alias("tax"), key("total", "amount due", "balance due", "grand total").alias("total")),
+            "payment": lambda: F.struct(key("payment status", "status").alias("status"), key("payment terms", "terms").alias("terms")), "verified_fields": lambda: kv}
+        return F.struct(F.lit("invoice").alias("document_type"), *[make().alias(name) for name, make in made.items() if parts is None or name in parts])
+
+    return X.bind(lines_of(b), lambda ls: X.bind(plain_pairs(ls), lambda kv: of(ls, kv)))
+
+
 def cv(rows: DataFrame, parts: Sequence[str] | None = None) -> DataFrame:
     """(doc_id, data); ``parts`` names the parts to compute, all without it."""
-    b = F.col("blocks")
-    r = rows.withColumn("ls", lines_of(b)).withColumn("head", header(F.col("ls"))).withColumn("name", person_name(F.col("head")))
-    made = {
-        "person": lambda: F.struct("name", headline(F.col("head"), F.col("name")).alias("headline")), "contact": lambda: contact(F.col("ls"), b), "summary": lambda: section_text(b, "summary_section"),
-        "skills": lambda: section_items(b, "skills_section"), "experience": lambda: entries(section_lines(b, "experience_section"), False), "education": lambda: entries(section_lines(b, "education_section"), True),
-        "languages": lambda: section_items(b, "languages_section"), "strengths": lambda: strengths(b)}
-    return r.select("doc_id", F.struct(F.lit("cv").alias("document_type"), *[make().alias(name) for name, make in made.items() if parts is None or name in parts]).alias("data"))
+    return rows.select("doc_id", cv_data(F.col("blocks"), parts).alias("data"))
 
 
 def invoice(rows: DataFrame) -> DataFrame:
     """(doc_id, data)."""
-    b = F.col("blocks")
-    r = rows.withColumn("ls", lines_of(b)).withColumn("kv", plain_pairs(F.col("ls")))
-    key = lambda *names: D.first_key(F.col("kv"), names)
-    items = section_lines(b, "table_section", "invoice_items_section")
-    return r.select("doc_id", F.struct(
-        F.lit("invoice").alias("document_type"), key("invoice no", "invoice number", "invoice", "inv").alias("invoice_number"), key("date", "issue date", "invoice date").alias("issue_date"), key("due date").alias("due_date"),
-        party(F.col("ls"), ("from", "seller", "vendor", "supplier")).alias("seller"), party(F.col("ls"), ("billed to", "bill to", "customer", "client")).alias("buyer"), items.alias("line_items"),
-        F.struct(key("subtotal", "sub total").alias("subtotal"), key("tax", "vat", "gst", "hst").alias("tax"), key("total", "amount due", "balance due", "grand total").alias("total")).alias("totals"),
-        F.struct(key("payment status", "status").alias("status"), key("payment terms", "terms").alias("terms")).alias("payment"), F.col("kv").alias("verified_fields")).alias("data"))
+    return rows.select("doc_id", invoice_data(F.col("blocks")).alias("data"))
+
+
+CV_TYPES = {
+    "document_type": "string", "person": "struct<name:string,headline:string>", "contact": "struct<email:string,phone:string,urls:array<string>,location:string,raw_contact_lines:array<string>>", "summary": "string",
+    "skills": "array<string>", "experience": f"array<{ENTRY}>", "education": f"array<{ENTRY}>", "languages": "array<string>", "strengths": "array<struct<title:string,description:string>>"}
+_PARTY = "struct<name:string,raw_lines:array<string>>"
+INVOICE_TYPES = {
+    "document_type": "string", "invoice_number": "string", "issue_date": "string", "due_date": "string", "seller": _PARTY, "buyer": _PARTY, "line_items": "array<string>", "totals": "struct<subtotal:string,tax:string,total:string>",
+    "payment": "struct<status:string,terms:string>", "verified_fields": "array<struct<key:string,value:string,pos:int>>"}
+
+
+def _struct(kinds: dict[str, str], parts: Sequence[str] | None) -> str:
+    return "struct<" + ",".join(f"{k}:{v}" for k, v in kinds.items() if parts is None or k in ("document_type", *parts)) + ">"
+
+
+def cv_of_texts(docs: DataFrame, parts: Sequence[str] | None = None) -> DataFrame:
+    """(doc_id, data) of plain texts; ``parts`` names the parts to compute, all without it."""
+    made = B.of_latin(F.col("text"), _struct(CV_TYPES, parts), lambda t: B.schema_cv(t, parts), lambda t: X.bind(blocks_of(t), lambda b: cv_data(b, parts)))
+    return docs.select("doc_id", made.alias("data"))
+
+
+def invoice_of_texts(docs: DataFrame, parts: Sequence[str] | None = None) -> DataFrame:
+    """(doc_id, data) of plain texts; ``parts`` names the parts to compute, all without it."""
+    made = B.of_latin(F.col("text"), _struct(INVOICE_TYPES, parts), lambda t: B.schema_invoice(t, parts), lambda t: X.bind(blocks_of(t), lambda b: invoice_data(b, parts)))
+    return docs.select("doc_id", made.alias("data"))
 
 
 def legal(rows: DataFrame) -> DataFrame:
