@@ -61,7 +61,10 @@ SKILLS = ("Python, SQL; Java", "Spark | Scala", "python  Excel, EXCEL")
 
 
 def cv_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text): one curriculum a customer."""
+    """(doc_id, text): one curriculum a customer.
+
+    Their keys are dealt to all cores: a file of so narrow a table is read by one or a few tasks.
+    """
     k = F.col("c_custkey")
 
     def pick(values: tuple[str, ...], by) -> F.Column:
@@ -73,7 +76,8 @@ def cv_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("\nPROFILE\nWorks with care\nExperience\nAcme "), (k % 50).cast("string"), F.lit("\n"), pick(ROLES, k), F.lit("\nParis, France\n"), year, F.lit(" - "), (F.lit(2016) + k % 8).cast("string"),
         F.lit("\nOther Corp\nConsultant\nSomewhere\n- Built reports for clients\n- short one\nMore long duties done here\nmars 2001 to mai 2003\nEducation\nMaster of Science\n"), pick(SCHOOLS, k), F.lit("\n"), year,
         F.lit("\nSkills\n"), pick(SKILLS, k), F.lit("\nLanguages\nFrench: native\nEnglish - fluent\nGerman basic\nCertifications\nCloud Expert - Big Vendor\nScrum Master, Org\nProjects\nPipeline\nMoves data daily\nHobbies\nchess; running\nProjects\nSecond"))
-    return table(spark, sf_dir, "customer").select(k.alias("doc_id"), text.alias("text"))
+    keys = table(spark, sf_dir, "customer").select("c_custkey").repartition(max(16, 4 * spark.sparkContext.defaultParallelism), "c_custkey")
+    return keys.select(k.alias("doc_id"), text.alias("text"))
 
 
 def _sql_pick(values: tuple[str, ...], by: str) -> str:
