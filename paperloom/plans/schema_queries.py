@@ -12,7 +12,7 @@ from .text_queries import PAIRS, RANGE, lines_sql, section_sql
 
 
 def _cv(spark, sf_dir, *parts):
-    return schema.cv(schema.text_blocks(R.cv_docs(spark, sf_dir)), parts or None)
+    return schema.cv_of_texts(R.cv_docs(spark, sf_dir), parts or None)
 
 
 @query(R.with_ctes(R.CV_SQL, lines_sql("cv_docs"), query="SELECT doc_id, max(CASE WHEN pos = 0 THEN line END) AS name, max(CASE WHEN pos = 0 THEN line END) IS NULL AS no_headline, max(CASE WHEN pos = 1 THEN regexp_extract(line, '[A-Za-z0-9]+@.*') END) AS email, max(CASE WHEN pos = 2 THEN line END) AS phone, 'Works with care' AS summary FROM lines GROUP BY doc_id"))
@@ -37,19 +37,19 @@ def schema_cv_education(spark, sf_dir):
     return rows.select("doc_id", "pos", "e.title", "e.organization", "e.date_range")
 
 
-def _invoice(spark, sf_dir):
-    return schema.invoice(schema.text_blocks(R.invoice_docs(spark, sf_dir)))
+def _invoice(spark, sf_dir, *parts):
+    return schema.invoice_of_texts(R.invoice_docs(spark, sf_dir), parts)
 
 
 @query(R.with_ctes(R.INVOICE_SQL, PAIRS, "f AS (SELECT doc_id, key, arg_min(value, pos) AS value FROM kv GROUP BY doc_id, key)", query="SELECT doc_id, max(CASE WHEN key = 'invoice' THEN value END) AS invoice_number, max(CASE WHEN key = 'date' THEN value END) AS issue_date, 'Acme Trading Ltd' AS seller, "
                    "max(CASE WHEN key = 'subtotal' THEN value END) AS subtotal, max(CASE WHEN key = 'total' THEN value END) AS total, '30 days' AS terms FROM f GROUP BY doc_id"))
 def schema_invoice(spark, sf_dir):
-    return _invoice(spark, sf_dir).select("doc_id", "data.invoice_number", "data.issue_date", F.col("data.seller.name").alias("seller"), "data.totals.subtotal", "data.totals.total", "data.payment.terms")
+    return _invoice(spark, sf_dir, "invoice_number", "issue_date", "seller", "totals", "payment").select("doc_id", "data.invoice_number", "data.issue_date", F.col("data.seller.name").alias("seller"), "data.totals.subtotal", "data.totals.total", "data.payment.terms")
 
 
 @query(R.with_ctes(R.INVOICE_SQL, lines_sql("invoice_docs"), "b AS (SELECT doc_id, min(pos) AS p FROM lines WHERE line LIKE '%Bill To%' GROUP BY doc_id)", query="SELECT l.doc_id, string_agg(line, ';' ORDER BY pos) AS buyer_lines FROM lines l JOIN b ON l.doc_id = b.doc_id AND pos BETWEEN p + 1 AND p + 6 GROUP BY l.doc_id"))
 def schema_party_lines(spark, sf_dir):
-    return _invoice(spark, sf_dir).select("doc_id", F.array_join("data.buyer.raw_lines", ";").alias("buyer_lines"))
+    return _invoice(spark, sf_dir, "buyer").select("doc_id", F.array_join("data.buyer.raw_lines", ";").alias("buyer_lines"))
 
 
 @query(None)
