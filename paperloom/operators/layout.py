@@ -3,12 +3,14 @@
 Input rows are (doc_id, page, line_idx, text, x1, y1, x2, y2, confidence).
 Rules that run along a page, where each step depends on the one before, are
 folds over the page's lines, gathered once by (doc_id, page); a page holds as
-many lines as a page does.  The fold stays in the JVM.  Final ties go to the
-lesser line_idx.
+many lines as a page does.  The fold stays in the JVM; where columns part is
+tried for many pages at once.  Final ties go to the lesser line_idx.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -67,26 +69,44 @@ def duplicate_pairs(lines: DataFrame) -> DataFrame:
     return ls.select(*PAGE, F.inline(pair))
 
 
-def _separators(ls: Column, w: Column) -> Column:
-    """(score, -step, place) of each of the 41 places between 18 and 58 % of the width that may part two columns."""
-    n = F.size(ls)
-
-    def at(i: Column) -> Column:
-        sep = w * (0.18 + 0.40 * i / 40)
-        left, right = F.filter(ls, lambda x: G.centre_x(x) <= sep), F.filter(ls, lambda x: G.centre_x(x) > sep)
-        crossing = F.aggregate(ls, F.lit(0.0), lambda a, x: a + F.when((x["x1"] < sep) & (sep < x["x2"]), F.when(G.width(x) > 0.62 * w, 0.25).otherwise(1.0)).otherwise(0.0)) / n
-        gap = F.array_min(F.transform(right, lambda x: x["x1"])) - F.array_max(F.transform(left, lambda x: x["x2"]))
-        few, many = F.least(F.size(left), F.size(right)), F.greatest(F.size(left), F.size(right))
-        score = gap / w * 2.4 + few / many * 0.25 - crossing * 1.8
-        return F.when((few >= 3) & (gap >= F.greatest(F.lit(45.0), 0.035 * w)), F.struct(score.alias("score"), (-i).alias("step"), sep.alias("sep"), gap.alias("gap")))
-
-    return F.filter(F.transform(F.sequence(F.lit(0), F.lit(40)), at), lambda s: s.isNotNull())
+def _part_columns(x1s: pa.Array, x2s: pa.Array) -> pa.Array:
+    """Of pages' left and right edges: the best of 41 places, between 18 and 58 % of the width, to part two columns; null without one, the first of equals."""
+    n = np.array(x1s.value_lengths().fill_null(0), dtype=np.int64)
+    used = n > 0
+    best, place = np.full(len(n), -np.inf), np.full(len(n), np.nan)
+    if used.any():
+        x1, x2 = (np.asarray(x.flatten().to_numpy(zero_copy_only=False), dtype=np.float64) for x in (x1s, x2s))
+        n = n[used]
+        starts, page = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+        w, c = np.fmax.reduceat(x2, starts), (x1 + x2) / 2
+        weight = np.where(np.fmax(1, x2 - x1) > 0.62 * w[page], 0.25, 1.0)
+        top, at = np.full(len(n), -np.inf), np.full(len(n), np.nan)
+        for i in range(41):
+            sep = w * (0.18 + 0.40 * i / 40)
+            line = sep[page]
+            left, right = c <= line, c > line
+            gap = np.fmin.reduceat(np.where(right, x1, np.nan), starts) - np.fmax.reduceat(np.where(left, x2, np.nan), starts)
+            crossing = np.add.reduceat(np.where((x1 < line) & (line < x2), weight, 0.0), starts) / n
+            n_left, n_right = (np.add.reduceat(side.astype(np.int64), starts) for side in (left, right))
+            few, many = np.minimum(n_left, n_right), np.maximum(n_left, n_right)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                score = gap / w * 2.4 + few / many * 0.25 - crossing * 1.8
+            better = (few >= 3) & (gap >= np.fmax(45.0, 0.035 * w)) & (w != 0) & (score > top)
+            top[better], at[better] = score[better], sep[better]
+        best[used], place[used] = top, at
+    return pa.array(place, mask=best == -np.inf)
+
+
+def _separator(ls: Column) -> Column:
+    """The best place between two columns of a page's lines, null without one.  A column has three lines, so pages of fewer than six are passed over."""
+    enough = F.size(ls) >= 6
+    left, right = F.transform(ls, lambda x: x["x1"].cast("double")), F.transform(ls, lambda x: x["x2"].cast("double"))
+    return F.arrow_udf(_part_columns, "double")(F.when(enough, left), F.when(enough, right))
 
 
 def column_separator(lines: DataFrame) -> DataFrame:
     """(doc_id, page, separator): the best place between two columns, null without one; the width is the greatest right edge."""
-    p = pages_of(lines).withColumn("w", F.array_max(F.transform("ls", lambda x: x["x2"])).cast("double"))
-    return p.select(*PAGE, F.array_max(_separators(F.col("ls"), F.col("w")))["sep"].alias("separator"))
+    return pages_of(lines).select(*PAGE, _separator(F.col("ls")).alias("separator"))
 
 
 def columns(lines: DataFrame) -> DataFrame:
@@ -99,7 +119,7 @@ def columns(lines: DataFrame) -> DataFrame:
     centres = F.array_sort(F.transform("ls", lambda x: G.centre_x(x)))
     gaps = F.transform(F.sequence(F.lit(1), F.size("ls") - 1), lambda i: F.struct((F.get("c", i) - F.get("c", i - 1)).alias("gap"), (-i).alias("i"), ((F.get("c", i) + F.get("c", i - 1)) / 2).alias("mid")))
     p = p.withColumn("c", centres).withColumn("far", F.when(F.size("ls") >= 8, F.array_max(gaps)))
-    sep = F.coalesce(F.array_max(_separators(F.col("ls"), F.col("w")))["sep"], F.when(F.col("far.gap") >= F.greatest(F.lit(90.0), 0.10 * F.col("w")), F.col("far.mid")))
+    sep = F.coalesce(_separator(F.col("ls")), F.when(F.col("far.gap") >= F.greatest(F.lit(90.0), 0.10 * F.col("w")), F.col("far.mid")))
     p = p.withColumn("sep", F.when(F.size("ls") >= 8, sep))
     p = p.withColumn("left", F.filter("ls", lambda x: G.centre_x(x) <= F.col("sep"))).withColumn("right", F.filter("ls", lambda x: G.centre_x(x) > F.col("sep")))
     two = (F.size("left") >= 3) & (F.size("right") >= 3)
@@ -146,9 +166,12 @@ def blocks(lines: DataFrame) -> DataFrame:
     return p.select(*PAGE, F.inline(F.aggregate("ls", start, step)["out"]))
 
 
-def block_rows(lines: DataFrame, members: DataFrame) -> DataFrame:
-    """One row a block: text, box, mean confidence, counts, upper median height, and its type."""
-    rows = lines.join(members, [*PAGE, "line_idx"])
+def block_rows(lines: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """One row a block: text, box, mean confidence, counts, upper median height, and its type.
+
+    Lines have their block themselves, or by (doc_id, page, line_idx) in ``members``.
+    """
+    rows = lines if members is None else lines.join(members, [*PAGE, "line_idx"])
     line = F.struct("y1", "x1", "line_idx", "text", "x2", "y2")
     b = rows.groupBy(*PAGE, "block").agg(
         F.array_sort(F.collect_list(line)).alias("ls"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.round(F.avg("confidence"), 4).alias("avg_confidence"),
