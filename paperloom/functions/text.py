@@ -155,13 +155,15 @@ def looks_location(line: Column) -> Column:
 
 def section_of(text: Column) -> Column:
     """The first section that has an alias equal to the normalised text, or at its start as words; null without one."""
+    def starts(label: Column, aliases: Sequence[str]) -> Column:
+        return F.rlike(label, F.lit("^(?:" + "|".join(dict.fromkeys(plain_norm(a) for a in aliases)) + ")(?: |$)"))
+
     def of(label: Column) -> Column:
         out = None
         for section, aliases in P.SECTION_ALIASES.items():
-            plain = list(dict.fromkeys(plain_norm(a) for a in aliases))
-            hit = F.rlike(label, F.lit("^(?:" + "|".join(plain) + ")(?: |$)"))
+            hit = starts(label, aliases)
             out = F.when(hit, section) if out is None else out.when(hit, section)
-        return out
+        return F.when(starts(label, [a for aliases in P.SECTION_ALIASES.values() for a in aliases]), out)  # most lines have none, which one pattern says
 
     return bind(norm(text), of)
 
