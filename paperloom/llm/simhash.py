@@ -26,9 +26,9 @@ A radius of 3 bits finds copies that differ in a word or two of a long text.
 Texts of a 5-word similarity of 0.8 differ in 10 bits of 64 on average and in
 up to 18, and at such a radius no vantage point parts random fingerprints: the
 distances from it spread by 4 bits only, so that each side of a split would be
-dealt nearly all nodes.  ``keep_one`` with a similarity therefore takes its
-candidates from the shingles' least hashes and compares them exactly
-(``near_copies``).
+dealt nearly all nodes.  ``keep_one`` with a similarity therefore takes
+fingerprints of 256 bits and a tree of many vantage points a level
+(``wide_simhash``), and compares what it finds exactly (``near_copies``).
 
 Null and empty texts and those of white space alone have fingerprint zero and
 link like any other.  Rows that repeat a doc_id are documents of their own with
