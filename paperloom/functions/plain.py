@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterable, Sequence
+from decimal import ROUND_HALF_UP, Decimal
 from functools import lru_cache
 
 import pyarrow as pa
@@ -178,85 +179,168 @@ def normalised_value(value: str, kind: str) -> str | None:
     return _last_point(_NO_AMOUNT.sub("", v)) or None if kind == "amount" else v
 
 
-@lru_cache(MEMO)
+def _trimmed(x: str, start: int, end: int) -> tuple[int, int]:
+    """The span without the spaces at its ends."""
+    v = x[start:end].lstrip(" ")
+    return end - len(v), end - len(v) + len(v.rstrip(" "))
+
+
+def _last_amount(x: str, start: int, end: int) -> tuple[int, int] | None:
+    """Where ``money_last`` of the span is."""
+    found = [m.span() for m in MONEY.finditer(x[start:end])] if _DIGIT.search(x, start, end) else None
+    return _trimmed(x, start + found[-1][0], start + found[-1][1]) if found else None
+
+
+def _cells(x: str) -> list[tuple[int, int]]:
+    """The stripped parts of a table's line that are not blank."""
+    edges = [0, *(e for m in _CELLS.finditer(x) for e in m.span()), len(x)]
+    cells = [(i + len(c) - len(c.lstrip()), c.strip()) for i, j in zip(edges[::2], edges[1::2], strict=True) for c in (x[i:j],)]
+    return [(i, i + len(c)) for i, c in cells if c]
+
+
 def line_candidates(x: str, table: bool) -> tuple[list[tuple], list[tuple]]:
-    """A line's candidates (field, value, low, kind, source, normalized), those of patterns and those of a table's parts."""
+    """Where a line's candidates are, those of patterns and those of a table's parts.
+
+    Each is (start, end, whether ``low`` is the value itself, start and end of ``normalized`` or -1 where it has to be made, (field, kind, source)).
+    """
     low, out = x.lower(), []
-    add = lambda field, value, kind, source="ocr_pattern": out.append((field, value, value.lower(), kind, source, normalised_value(value, kind)))
+
+    def add(field: str, span: tuple[int, int], kind: str, source: str = "ocr_pattern") -> None:
+        start, end = span
+        v = x[start:end]
+        normal, kept = normalised_value(v, kind), _NO_AMOUNT.sub("", v) if kind == "amount" else v
+        at = v.find(normal) if normal and normal == kept else -1
+        out.append((start, end, v == v.lower(), *((start + at, start + at + len(normal)) if at >= 0 else (-1, -1)), (field, kind, source)))
+
     digits = _DIGIT.search(x) is not None
     if "@" in x:
-        for v in EMAIL.findall(x):
-            add("email", v.strip(" "), "email")
+        for m in EMAIL.finditer(x):
+            add("email", _trimmed(x, *m.span()), "email")
     if digits:
-        for v in PHONE.findall(x):
-            if len(_DIGIT.findall(v)) >= 7:
-                add("phone", v.strip(" "), "phone")
+        for m in PHONE.finditer(x):
+            if len(_DIGIT.findall(m[0])) >= 7:
+                add("phone", _trimmed(x, *m.span()), "phone")
     if "www." in low:
-        for v in URL.findall(x):
-            add("url", v.strip(" "), "url")
+        for m in URL.finditer(x):
+            add("url", _trimmed(x, *m.span()), "url")
     if digits:
-        for v in CANDIDATE_DATE.findall(x) if _MAYBE_DATE.search(x) else ():
-            add("date", v.strip(" "), "date")
+        for m in CANDIDATE_DATE.finditer(x) if _MAYBE_DATE.search(x) else ():
+            add("date", _trimmed(x, *m.span()), "date")
     if ":" in x and (kv := KEY_VALUE.search(x)) and (value := kv[2].strip(" ")):
-        add(field_name(kv[1]), value, value_type(value), "ocr_key_value")
+        add(field_name(kv[1]), _trimmed(x, *kv.span(2)), value_type(value), "ocr_key_value")
     if any(w in low for w in P.REFERENCE_WORDS) and (found := REFERENCE.search(x)):
-        add("invoice_number", found[1], "identifier")
-    if amount := money_last(x):
+        add("invoice_number", found.span(1), "identifier")
+    if amount := _last_amount(x, 0, len(x)):
         add(amount_field(low), amount, "amount")
     patterns, out = out, []
-    parts = [p for c in _CELLS.split(x) if (p := c.strip())] if table else []
+    parts = _cells(x) if table else []
     if len(parts) >= 2:
         for p in parts:
-            if (amount := money_last(p)) is not None:
+            if (amount := _last_amount(x, *p)) is not None:
                 add("table_amount", amount, "amount", "ocr_table")
     return patterns, out
 
 
+#: patterns tell no digit from another, so lines that differ in digits alone have their candidates in the same places
+_SHAPE = bytes.maketrans(b"123456789", b"000000000")
+LONG = 512  #: characters of the longest line whose shape a memo keeps
+
+
+@lru_cache(MEMO)
+def _of_shape(shape: str, table: bool) -> tuple[list[tuple], list[tuple]] | None:
+    """``line_candidates`` of all lines of a shape; None where a field's name has digits, which are the line's own."""
+    label = KEY_VALUE.search(shape) if ":" in shape else None
+    return None if label and "0" in label[1] else line_candidates(shape, table)
+
+
+@lru_cache(1024)
+def _whole_numbers(joined: str) -> list[int | None]:
+    return [int(v) if v else None for v in joined.split(" ")]
+
+
+@lru_cache(1024)
+def _rounded(joined: str) -> list[float]:
+    """Doubles, rounded to four places as Spark does: by their decimal digits, halves up."""
+    read = [float(v) for v in joined.split(" ")]
+    return [float(Decimal(v).quantize(Decimal("0.0001"), ROUND_HALF_UP)) if abs(d) < 1e15 else d for v, d in zip(joined.split(" "), read, strict=True)]
+
+
+def _read(of: Callable[[str], list], joined: str) -> list:
+    return of(joined) if len(joined) <= 8 * LONG else of.__wrapped__(joined)
+
+
 FOUND = "array<struct<page:int,field:string,pos:int,value:string,kind:string,source:string,confidence:double,normalized:string>>"
 
 
-def candidates(rows: Iterable[tuple[str | None, str | None, str | None]]) -> tuple[tuple[list, ...], list[int]]:
-    """Of documents' lines, as ``candidates_of`` takes them: their candidates, in columns, and where each document's end.
+def candidates(rows: Iterable[tuple[str | None, ...]]) -> tuple[list[pa.Array], list[int]]:
+    """Of documents' lines, as ``candidates_of`` takes them: their candidates, in the columns of ``FOUND``, and where each document's end.
 
     Candidates of patterns come before those of tables; of equal (field, value ignoring case, page) the first stays.
     """
-    out, ends = tuple([] for _ in range(8)), [0]
-    pages, fields, places, values, kinds, sources, sure, normal = (c.append for c in out)
-    for text, marks, made in rows:
-        others = json.loads(made) if made else {}
-        found, late, seen = [], [], set()
-        for i, (x, mark) in enumerate(zip(text.split("\0"), marks.split("\0")) if marks else ()):
-            page, pos, confidence, table = mark.split(" ")
-            at = (int(page) if page else None, int(pos) if pos else None, float(confidence))
-            if (other := others.get(str(i))) is None:
-                first, second = line_candidates(x, table == "1")
-            else:
-                first, second = ([tuple(c.get(k) for k in ("field", "value", "low", "kind", "source", "normalized")) for c in other if c["late"] == k] for k in (False, True))
-            found += [(at, c) for c in first]
-            if second:
-                late += [(at, c) for c in second]
-        for (page, pos, confidence), (field, value, low, kind, source, normalized) in found + late:
-            if (key := (page, field, low)) not in seen:
-                seen.add(key)
-                pages(page), fields(field), places(pos), values(value), kinds(kind), sources(source), sure(confidence), normal(normalized)
-        ends.append(len(out[0]))
-    return out, ends
-
-
-def candidates_of(text: Column, marks: Column, made: Column) -> Column:
-    """``candidates``, as ``FOUND``, of lines joined by NUL, of their ``page pos confidence 0|1`` (1 in a table) joined likewise, and of candidates made elsewhere.
+    names, normal, made_of, lines_of, ends = [], [], [], [], [0]
+    pages, places, sure = [], [], []
+    for text, page, pos, confidence, tables, made in rows:
+        if tables:
+            base, others = len(places), json.loads(made) if made else None
+            page = _read(_whole_numbers, page)
+            pages += page
+            places += _read(_whole_numbers, pos)
+            sure += _read(_rounded, confidence)
+            found, late, seen = [], [], set()
+            for i, (x, shape, table) in enumerate(zip(text.split("\0"), text.encode("ascii").translate(_SHAPE).decode("ascii").split("\0"), tables, strict=True)):
+                if others is not None and (other := others.get(str(i))) is not None:
+                    for c in other:
+                        (late if c["late"] else found).append((i, None, c))
+                    continue
+                both = _of_shape(shape, table == "1") if len(x) <= LONG else None
+                first, second = both or line_candidates(x, table == "1")
+                if first:
+                    found.append((i, x, first))
+                if second:
+                    late.append((i, x, second))
+            for i, x, spans in found + late:
+                on = page[i]
+                if x is None:
+                    key = (on, spans["field"], spans["low"])
+                    if key not in seen:
+                        seen.add(key)
+                        names.append(spans.get("value"))
+                        normal.append(spans.get("normalized"))
+                        made_of.append(tuple(spans.get(k) for k in ("field", "kind", "source")))
+                        lines_of.append(base + i)
+                    continue
+                for start, end, same, first, last, kind in spans:
+                    v = x[start:end]
+                    key = (on, kind[0], v if same else v.lower())
+                    if key not in seen:
+                        seen.add(key)
+                        names.append(v)
+                        normal.append(x[first:last] if first >= 0 else normalised_value(v, kind[1]))
+                        made_of.append(kind)
+                        lines_of.append(base + i)
+        ends.append(len(names))
+    numbers: dict[tuple, int] = {}
+    which = pa.array([numbers.setdefault(k, len(numbers)) for k in made_of], pa.int32())
+    field, kind, source = (pa.array([k[c] for k in numbers], pa.string()).take(which) for c in range(3))
+    at = pa.array(lines_of, pa.int32())
+    page, pos, confidence = (pa.array(c, t).take(at) for c, t in ((pages, pa.int32()), (places, pa.int32()), (sure, pa.float64())))
+    return [page, field, pos, pa.array(names, pa.string()), kind, source, confidence, pa.array(normal, pa.string())], ends
+
+
+def candidates_of(text: Column, pages: Column, places: Column, sure: Column, tables: Column, made: Column) -> Column:
+    """``candidates``, as ``FOUND``, of lines joined by NUL, of their pages, places and confidences joined by spaces, of a 1 or 0 each (1 in a table), and of candidates made elsewhere.
 
     ``made`` is JSON, place of a line -> its (late, field, value, low, kind, source, normalized).  All are
     strings, as Spark measures a batch of arrays anew for every row of it.
     """
     kind = to_arrow_type(_parse_datatype_string(FOUND))
 
-    def run(text: pa.Array, marks: pa.Array, made: pa.Array) -> pa.Array:
-        parts = []
-        for i in range(0, len(text), SLICE):
-            out, ends = candidates(zip(*(c.slice(i, SLICE).to_pylist() for c in (text, marks, made))))
-            struct = pa.StructArray.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, kind.value_type)], fields=list(kind.value_type))
+    def run(text: pa.Array, pages: pa.Array, places: pa.Array, sure: pa.Array, tables: pa.Array, made: pa.Array) -> pa.Array:
+        columns, parts = (text, pages, places, sure, tables, made), []
+        for i in range(0, len(columns[0]), SLICE):
+            out, ends = candidates(zip(*(c.slice(i, SLICE).to_pylist() for c in columns)))
+            struct = pa.StructArray.from_arrays([c.cast(f.type) for c, f in zip(out, kind.value_type)], fields=list(kind.value_type))
             parts.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct, type=kind))
         return pa.concat_arrays(parts or [pa.array([], type=kind)])
 
-    return F.arrow_udf(run, FOUND)(text, marks, made)
+    return F.arrow_udf(run, FOUND)(text, pages, places, sure, tables, made)

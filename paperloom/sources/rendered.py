@@ -19,11 +19,14 @@ def money(c) -> F.Column:
 
 
 def invoice_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text): one invoice an order.  One shuffle: items are gathered by order, an order's few items at a time."""
+    """(doc_id, text): one invoice an order.  One shuffle: items are gathered by order, an order's few items at a time.
+
+    Orders are dealt by their key as that join deals them: where Spark broadcasts the items, a file of few orders would be one task's.
+    """
     item = F.struct("l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"), F.col("l_extendedprice").cast("decimal(15,2)").alias("p"))
     items = (table(spark, sf_dir, "lineitem").groupBy("l_orderkey")
              .agg(F.array_sort(F.collect_list(item)).alias("items"), F.sum(F.col("l_extendedprice").cast("decimal(15,2)")).alias("sub")))
-    o = table(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    o = table(spark, sf_dir, "orders").repartition("o_orderkey").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     rows = F.array_join(F.transform(F.coalesce("items", F.array().cast(items.schema["items"].dataType)), lambda i: F.concat(
         F.lit("\nPart "), i["l_partkey"].cast("string"), F.lit(" | "), i["q"].cast("string"), F.lit(" | "), i["p"].cast("string"))), "")
     text = F.concat(

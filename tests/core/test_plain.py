@@ -63,3 +63,26 @@ def test_keywords_are_found_in_texts_of_any_script(spark):
 def test_nothing_but_ascii_goes_to_a_batch(spark):
     text = spark.createDataFrame([("a",), ("é",), (None,)], "t string")
     assert [r[0] for r in text.select(A.of_text(F.col("t"), "string", lambda t: "batch", lambda t: F.lit("other"))).collect()] == ["batch", "other", "batch"]
+
+
+def test_lines_that_differ_in_digits_alone_are_searched_once(monkeypatch):
+    searched, whole = [], A.line_candidates
+    monkeypatch.setattr(A, "line_candidates", lambda x, table: searched.append(x) or whole(x, table))
+    A._of_shape.cache_clear()
+    lines = [f"Part {k} | {k % 7} | {k}.5{k % 10}" for k in range(1000, 1900)] + [f"Key {k}: a{k}@b.org" for k in range(10, 30)]
+    row = ("\0".join(lines), " ".join(["1"] * 920), " ".join(map(str, range(920))), " ".join(["0.90005"] * 920), "1" * 900 + "0" * 20, None)
+    columns, ends = A.candidates([row, row])
+    got = list(zip(*(c.to_pylist() for c in columns)))
+    assert ends[1] * 2 == ends[2] and got[:ends[1]] == got[ends[1]:]
+    assert len([x for x in searched if x.startswith("Part")]) == 1  # what is in a field's name is the line's own
+    assert (1, "amount", 0, "1000.50", "amount", "ocr_pattern", 0.9001, "1000.50") in got and (1, "table_amount", 899, "1899", "amount", "ocr_table", 0.9001, "1899") in got
+    assert {r[1] for r in got if r[5] == "ocr_key_value"} == {f"key_{k}" for k in range(10, 30)}
+
+
+def test_invoices_are_dealt_to_more_tasks_than_files(spark, tmp_path):
+    from paperloom.sources import rendered as R
+
+    spark.range(400_000).selectExpr("xxhash64(id) o_orderkey", "xxhash64(-id) o_custkey", "1.5D o_totalprice", "date'2001-02-03' o_orderdate").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(10).selectExpr("id l_orderkey", "id l_partkey", "id l_suppkey", "1 l_linenumber", "2D l_quantity", "3D l_extendedprice").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    dealt = R.invoice_docs(spark, str(tmp_path)).select(F.spark_partition_id().alias("p"), F.length("text").alias("n")).groupBy("p").agg(F.sum("n")).count()
+    assert dealt > 1
