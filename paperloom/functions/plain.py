@@ -14,7 +14,9 @@ from collections.abc import Callable, Iterable, Sequence
 from decimal import ROUND_HALF_UP, Decimal
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -272,59 +274,103 @@ def _read(of: Callable[[str], list], joined: str) -> list:
 FOUND = "array<struct<page:int,field:string,pos:int,value:string,kind:string,source:string,confidence:double,normalized:string>>"
 
 
+def _strings(letters: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The stretches of a text's bytes, as strings."""
+    sizes = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    taken = letters[np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1])]
+    return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(taken))
+
+
 def candidates(rows: Iterable[tuple[str | None, ...]]) -> tuple[list[pa.Array], list[int]]:
     """Of documents' lines, as ``candidates_of`` takes them: their candidates, in the columns of ``FOUND``, and where each document's end.
 
     Candidates of patterns come before those of tables; of equal (field, value ignoring case, page) the first stays.
+    All lines are one text of bytes, in which a candidate is a stretch: Python sees each shape once, the rest is done on arrays.
     """
-    names, normal, made_of, lines_of, ends = [], [], [], [], [0]
-    pages, places, sure = [], [], []
-    for text, page, pos, confidence, tables, made in rows:
-        if tables:
-            base, others = len(places), json.loads(made) if made else None
-            page = _read(_whole_numbers, page)
-            pages += page
+    texts, tables, counts, pages, places, sure, others = [], [], [], [], [], [], {}
+    for text, page, pos, confidence, table, made in rows:
+        counts.append(len(table or ""))
+        if table:
+            if made:
+                others.update((len(places) + int(i), found) for i, found in json.loads(made).items())
+            texts.append(text)
+            tables.append(table)
+            pages += _read(_whole_numbers, page)
             places += _read(_whole_numbers, pos)
             sure += _read(_rounded, confidence)
-            found, late, seen = [], [], set()
-            for i, (x, shape, table) in enumerate(zip(text.split("\0"), text.encode("ascii").translate(_SHAPE).decode("ascii").split("\0"), tables, strict=True)):
-                if others is not None and (other := others.get(str(i))) is not None:
-                    for c in other:
-                        (late if c["late"] else found).append((i, None, c))
-                    continue
-                both = _of_shape(shape, table == "1") if len(x) <= LONG else None
-                first, second = both or line_candidates(x, table == "1")
-                if first:
-                    found.append((i, x, first))
-                if second:
-                    late.append((i, x, second))
-            for i, x, spans in found + late:
-                on = page[i]
-                if x is None:
-                    key = (on, spans["field"], spans["low"])
-                    if key not in seen:
-                        seen.add(key)
-                        names.append(spans.get("value"))
-                        normal.append(spans.get("normalized"))
-                        made_of.append(tuple(spans.get(k) for k in ("field", "kind", "source")))
-                        lines_of.append(base + i)
-                    continue
-                for start, end, same, first, last, kind in spans:
-                    v = x[start:end]
-                    key = (on, kind[0], v if same else v.lower())
-                    if key not in seen:
-                        seen.add(key)
-                        names.append(v)
-                        normal.append(x[first:last] if first >= 0 else normalised_value(v, kind[1]))
-                        made_of.append(kind)
-                        lines_of.append(base + i)
-        ends.append(len(names))
-    numbers: dict[tuple, int] = {}
-    which = pa.array([numbers.setdefault(k, len(numbers)) for k in made_of], pa.int32())
-    field, kind, source = (pa.array([k[c] for k in numbers], pa.string()).take(which) for c in range(3))
-    at = pa.array(lines_of, pa.int32())
-    page, pos, confidence = (pa.array(c, t).take(at) for c, t in ((pages, pa.int32()), (places, pa.int32()), (sure, pa.float64())))
-    return [page, field, pos, pa.array(names, pa.string()), kind, source, confidence, pa.array(normal, pa.string())], ends
+    whole = "\0".join(texts).encode("ascii")
+    size, more = len(whole), bytearray()  # ``more`` is what is no stretch of a line; it lies behind the text and its lower case
+    starts = np.concatenate([[0], np.flatnonzero(np.frombuffer(whole, np.uint8) == 0) + 1]) if texts else np.zeros(0, np.int64)
+
+    def put(value: str) -> tuple[int, int]:
+        more.extend(made := value.encode())
+        return 2 * size + len(more) - len(made), 2 * size + len(more)
+
+    def letters() -> np.ndarray:
+        return np.frombuffer(whole + whole.lower() + more, np.uint8)
+
+    #: of each span, from its line's start on: start and end of value, low and normalized (-1: to be made, -2: null), number of its kind, whether it is a table's
+    spans, first, held, kinds = [], [], [], {}
+
+    def number(both: tuple[list[tuple], list[tuple]]) -> int:
+        first.append(len(spans))
+        for late, part in enumerate(both):
+            for start, end, same, a, b, kind in part:
+                low = 0 if same else size
+                spans.append((start, end, low + start, low + end, a, b, kinds.setdefault(kind, len(kinds)), late))
+        held.append(len(spans) - first[-1])
+        return len(held) - 1
+
+    def number_of_others(found: list[dict], at: int) -> int:
+        first.append(len(spans))
+        for c in found:
+            value, low, normal = (None if (v := c.get(k)) is None else [i - at for i in put(v)] for k in ("value", "low", "normalized"))
+            spans.append((*value, *low, *(normal or (-2, -2)), kinds.setdefault(tuple(c.get(k) for k in ("field", "kind", "source")), len(kinds)), int(c["late"])))
+        held.append(len(spans) - first[-1])
+        return len(held) - 1
+
+    known, of = {"0": {}, "1": {}}, np.zeros(len(starts), np.int64)
+    for i, (shape, table) in enumerate(zip(whole.translate(_SHAPE).split(b"\0") if texts else (), "".join(tables), strict=True)):
+        k = known[table].get(shape)
+        if others and i in others:
+            k = number_of_others(others[i], int(starts[i]))
+        elif k is None:
+            both = _of_shape(shape.decode("ascii"), table == "1") if len(shape) <= LONG else None
+            if both is None:
+                k = number(line_candidates(whole[starts[i]:starts[i] + len(shape)].decode("ascii"), table == "1"))
+            else:
+                k = known[table][shape] = number(both)
+        of[i] = k
+    spans, n = np.array(spans, np.int64).reshape(-1, 8), np.array(held, np.int64)[of]
+    line = np.repeat(np.arange(len(of)), n)
+    span = spans[np.repeat(np.array(first, np.int64)[of] - np.cumsum(n) + n, n) + np.arange(len(line))]
+    doc = np.repeat(np.arange(len(counts)), counts)[line]
+    order = np.argsort(2 * doc + span[:, 7], kind="stable")
+    line, span, doc = line[order], span[order], doc[order]
+    span[:, :4] += starts[line, None]
+    # of equal ones the first: the one whose code is greater than all before it
+    code = lambda values: values.dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)
+    fields = code(pa.array([k[0] for k in kinds], pa.string()))
+    key = np.zeros(len(line), np.int64) + doc
+    for part in (code(pa.array(pages, pa.int32()))[line], fields[span[:, 6]], code(_strings(letters(), span[:, 2], span[:, 3]))):
+        key = code(pa.array(key * (part.max(initial=0) + 1) + part))
+    kept = np.flatnonzero(key > np.concatenate([[-1], np.maximum.accumulate(key)[:-1]])) if len(key) else np.zeros(0, np.int64)
+    line, span, doc = line[kept], span[kept], doc[kept]
+    values, normal = _strings(letters(), span[:, 0], span[:, 1]), span[:, 4:6]
+    made = normal[:, 0] == -1
+    normal[normal[:, 0] != -2] += starts[line[normal[:, 0] != -2], None]
+    of_kind = list(kinds)
+    for i in np.flatnonzero(made).tolist():
+        value = normalised_value(values[i].as_py(), of_kind[span[i, 6]][1])
+        normal[i] = (-2, -2) if value is None else put(value)
+    normalized = _strings(letters(), normal[:, 0], normal[:, 1])
+    if (null := normal[:, 0] == -2).any():
+        normalized = pa.compute.if_else(pa.array(~null), normalized, pa.scalar(None, pa.string()))
+    field, kind, source = (pa.array([k[c] for k in of_kind], pa.string()).take(pa.array(span[:, 6])) for c in range(3))
+    page, pos, confidence = (pa.array(c, t).take(pa.array(line)) for c, t in ((pages, pa.int32()), (places, pa.int32()), (sure, pa.float64())))
+    ends = [0, *np.cumsum(np.bincount(doc, minlength=len(counts))).tolist()]
+    return [page, field, pos, values, kind, source, confidence, normalized], ends
 
 
 def candidates_of(text: Column, pages: Column, places: Column, sure: Column, tables: Column, made: Column) -> Column:
